@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["simhash"]
+MODULES = ["simhash", "suffix"]
 
 
 def _modules() -> list:
