@@ -213,7 +213,7 @@ def removal_intervals(spark: SparkSession, texts: DataFrame, length: int = LENGT
     bits = 1 << max(16, min(BITS.bit_length() - 1, (32 * repeated.count()).bit_length()))
     slot = F.shiftrightunsigned("key", 5).bitwiseAND(F.lit(bits - 1))
     # At most BITS / 64 rows, whatever the corpus.
-    words = repeated.select(F.shiftright(slot, 6).alias("w"), F.shiftleft(F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    words = repeated.select(slot.alias("slot")).selectExpr("shiftright(slot, 6) AS w", "shiftleft(1L, cast(slot & 63 AS int)) AS b").groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
     bitmap = np.zeros(bits // 64, np.int64)
     bitmap[words["w"].to_numpy()] = words["b"].to_numpy()
     shipped = spark.sparkContext.broadcast(bitmap.view(np.uint64))
