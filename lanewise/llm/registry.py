@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["simhash", "suffix"]
+MODULES = ["simhash", "suffix", "quality", "secrets"]
 
 
 def _modules() -> list:
