@@ -11,7 +11,7 @@ Suffixes that start at anchors are therefore enough to find every repeated windo
 3. The remaining classes are sorted as suffixes: sampled splitters range-partition them by their leading bytes, each
    bucket is sorted by multikey quicksort, and neighbours that share CONTEXT bytes form a group, in which the windows are
    compared. Splitters compare contexts, so a group never crosses a bucket; a group that is too large for a bucket is
-   dealt out as single windows instead, and the windows are counted across all buckets.
+   cut into ever smaller cells of windows instead, and the cells are counted across all buckets.
 4. Repeated windows become intervals of their documents.
 """
 
@@ -31,7 +31,7 @@ LENGTH = 200
 #: Windows that share an anchor at most, and the bytes from the anchor that all of them hold.
 REACH = 93
 GRAM = 8
-#: Classes of one context that a bucket sorts; larger groups are counted window by window.
+#: Classes of one context that a bucket sorts; larger groups are cut into cells.
 GROUP = 200
 #: Classes of a bucket.
 BUCKET = 16_384
@@ -193,6 +193,22 @@ def _bucket(rows: list[tuple[bytes, int, int, int, int]], length: int, reach: in
                 yield key, span, int(run[0]) - left, int(run[-1]) - left
 
 
+def _bitmap(spark: SparkSession, keys: DataFrame) -> tuple:
+    """(broadcast bitmap of the keys, its bits): 32 bits a key, and BITS at most whatever the corpus."""
+    keys = keys.toDF("key")
+    bits = 1 << max(16, min(BITS.bit_length() - 1, (32 * keys.count()).bit_length()))
+    slot = F.shiftrightunsigned("key", 5).bitwiseAND(F.lit(bits - 1))
+    words = keys.select(slot.alias("slot")).selectExpr("shiftright(slot, 6) AS w", "shiftleft(1L, cast(slot & 63 AS int)) AS b").groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    bitmap = np.zeros(bits // 64, np.int64)
+    bitmap[words["w"].to_numpy()] = words["b"].to_numpy()
+    return spark.sparkContext.broadcast(bitmap.view(np.uint64)), bits
+
+
+def _known(bitmap: np.ndarray, bits: int, keys: np.ndarray) -> np.ndarray:
+    s = _slot(keys, bits)
+    return (bitmap[s >> np.uint64(6)] >> (s & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def removal_intervals(spark: SparkSession, texts: DataFrame, length: int = LENGTH, group: int = GROUP, bucket: int = BUCKET) -> DataFrame:
     """texts (digest binary, text binary), one row per document: (digest, start int, stop int) of byte runs to remove.
 
@@ -211,12 +227,7 @@ def removal_intervals(spark: SparkSession, texts: DataFrame, length: int = LENGT
     counted = texts.select("text").mapInArrow(keys, "key long").groupBy("key").agg(F.count("*").alias("n"))
     repeated = written(spark, counted.filter("n > 1").select("key"), "contexts")
     bits = 1 << max(16, min(BITS.bit_length() - 1, (32 * repeated.count()).bit_length()))
-    slot = F.shiftrightunsigned("key", 5).bitwiseAND(F.lit(bits - 1))
-    # At most BITS / 64 rows, whatever the corpus.
-    words = repeated.select(slot.alias("slot")).selectExpr("shiftright(slot, 6) AS w", "shiftleft(1L, cast(slot & 63 AS int)) AS b").groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
-    bitmap = np.zeros(bits // 64, np.int64)
-    bitmap[words["w"].to_numpy()] = words["b"].to_numpy()
-    shipped = spark.sparkContext.broadcast(bitmap.view(np.uint64))
+    shipped, bits = _bitmap(spark, repeated.select("key"))
     columns = [("key", pa.int64()), ("span", pa.int64()), ("digest", pa.binary()), ("at", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("bytes", pa.binary())]
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,8 +239,7 @@ def removal_intervals(spark: SparkSession, texts: DataFrame, length: int = LENGT
                     d, text = digest.as_py(), text.as_py()
                     for start, part in _segments(text, length):
                         x = Anchored(part, length, reach)
-                        s = _slot(x.key, bits)
-                        for i in np.flatnonzero((known[s >> np.uint64(6)] >> (s & np.uint64(63))) & np.uint64(1)):
+                        for i in np.flatnonzero(_known(known, bits, x.key)):
                             lo, hi = int(x.lo[i]), int(x.hi[i])
                             yield int(x.key[i]), int(x.span[i]), d, start + int(x.at[i]), start + lo, start + hi, part[lo : hi + length]
 
@@ -240,10 +250,20 @@ def removal_intervals(spark: SparkSession, texts: DataFrame, length: int = LENGT
     # Contexts with a class that occurs once, beside another class: their windows have to be compared.
     open_keys = written(spark, classes.groupBy("key").agg(F.count("*").alias("classes"), F.min("n").alias("least")).filter("classes > 1 and least = 1").select("key", "classes"), "open")
     undecided = written(spark, classes.join(open_keys, "key").select("key", "span", "n", "classes"), "undecided")
-    spans = found.select("key", "span", (F.col("at") - F.col("lo")).alias("place"), "bytes").join(undecided, ["key", "span"])
+    # The bytes move only where another bitmap says that their class is undecided.
+    wanted, wanted_bits = _bitmap(spark, undecided.select("span"))
+
+    def only_wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(_known(wanted.value, wanted_bits, b.column(1).to_numpy())))
+
+    places = found.select("key", "span", (F.col("at") - F.col("lo")).alias("place"), "bytes")
+    spans = places.mapInArrow(only_wanted, places.schema).join(undecided, ["key", "span"])
     spans = written(spark, spans.groupBy("key", "span").agg(F.first("n").alias("n"), F.first("classes").alias("classes"), F.first("place").alias("place"), F.first("bytes").alias("bytes")), "spans")
-    hits = _sorted_hits(spark, spans.filter(F.col("classes") <= group), length, reach, bucket).unionByName(_counted_hits(spark, spans.filter(F.col("classes") > group), length))
-    hits = written(spark, hits, "hits")
+    hits = _sorted_hits(spark, spans.filter(F.col("classes") <= group), length, reach, bucket)
+    large = spans.filter(F.col("classes") > group)
+    if not large.isEmpty():
+        hits = hits.unionByName(_refined_hits(spark, large, length))
     whole = classes.filter("n > 1").select("key", "span", F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
     verdicts = written(spark, whole.unionByName(hits), "verdicts")
     marked = found.select("key", "span", "digest", "at", "lo", "hi").join(verdicts, ["key", "span"])
@@ -265,21 +285,46 @@ def _sorted_hits(spark: SparkSession, spans: DataFrame, length: int, reach: int,
     return dealt.mapInArrow(sort, "key long, span long, first int, last int")
 
 
-def _counted_hits(spark: SparkSession, spans: DataFrame, length: int) -> DataFrame:
-    """Classes of contexts too large for a bucket, as single windows with 128-bit hashes."""
+def _refined_hits(spark: SparkSession, spans: DataFrame, length: int) -> DataFrame:
+    """Classes of contexts too large for a bucket: their windows are dealt out in ever smaller cells.
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            for b in batches:
-                for x, place, key, span, n in (r.values() for r in b.to_pylist()):
-                    for p in range(len(x) - length + 1):
-                        yield hashlib.blake2b(x[p : p + length], digest_size=16).digest(), key, span, p - place, n
-
-        yield from _batches([("window", pa.binary()), ("key", pa.int64()), ("span", pa.int64()), ("at", pa.int32()), ("n", pa.int64())], rows())
-
-    single = written(spark, spans.select("bytes", "place", "key", "span", "n").mapInArrow(windows, "window binary, key long, span long, at int, n long"), "windows")
-    shared = written(spark, single.groupBy("window").agg(F.count("*").alias("times")).filter("times > 1").select("window"), "shared")
-    return single.filter("n = 1").join(shared, "window").select("key", "span", F.col("at").alias("first"), F.col("at").alias("last"))
+    A cell holds the windows at the same offsets from the anchor. All windows of a cell hold its core; a cell whose core
+    occurs once has no repeated window, one whose whole bytes occur twice has only such, and the others are cut further,
+    down to single windows. Equal cells go on as one row, so a context that a third of all rows share stays small.
+    """
+    rows, hits = spans.select("key", "span", "n", (-F.col("place")).alias("first"), "bytes"), []
+    columns = [("core", pa.binary()), ("whole", pa.binary()), ("key", pa.int64()), ("span", pa.int64()), ("n", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("bytes", pa.binary())]
+
+    def split(width: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def cells() -> Iterator[tuple]:
+                for b in batches:
+                    for key, span, n, first, x in (r.values() for r in b.to_pylist()):
+                        end = first + len(x) - length + 1
+                        for cell in range(first // width, (end - 1) // width + 1):
+                            lo, hi = max(first, cell * width), min(end, cell * width + width) - 1
+                            core = x[(cell + 1) * width - 1 - first : cell * width - first + length]
+                            own = x[lo - first : hi - first + length]
+                            yield _digest(core, cell), _digest(own, lo, hi), key, span, n, lo, hi, own
+
+            yield from _batches(columns, cells(), 4096)
+
+        return run
+
+    for width in (24, 6, 1):
+        cells = written(spark, rows.mapInArrow(split(width), "core binary, whole binary, key long, span long, n long, first int, last int, bytes binary"), "cells")
+        one = F.struct("key", "span", "n", "first", "bytes")
+        wholes = written(spark, cells.groupBy("core", "whole").agg(F.count("*").alias("times"), F.min(one).alias("one")), "wholes")
+        again = written(spark, wholes.filter("times > 1").select("whole"), "again")
+        hits.append(cells.filter("n = 1").join(again, "whole").select("key", "span", "first", "last"))
+        if width > 1:
+            still = written(spark, wholes.groupBy("core").agg(F.count("*").alias("kinds"), F.min("times").alias("least")).filter("kinds > 1 and least = 1").select("core"), "still")
+            rows = wholes.join(still, "core").select("one.key", "one.span", F.greatest("one.n", "times").alias("n"), "one.first", "one.bytes")
+    return hits[0].unionByName(hits[1]).unionByName(hits[2])
+
+
+def _digest(x: bytes, *more: int) -> bytes:
+    return hashlib.blake2b(x, digest_size=16, person=b"%d:%d" % (more + more)[:2]).digest()
 
 
 def _cut(text: bytes, runs: list[tuple[int, int]] | None) -> tuple[bytes, int, int]:
