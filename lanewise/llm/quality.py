@@ -20,7 +20,7 @@ MAX_REPEAT_PERCENT = 50
 #: Documents that a group needs for a sketch of its own.
 MIN_GROUP = 100
 #: A rule's fence is at least its floor: measures below it never reject a document.
-RULES = {"symbols_pm": 100, "dup_lines_pm": 300, "repeat_pm": 200, "word_length_pc": 1500}
+RULES = {"symbols_pm": 100, "dup_lines_pm": 500, "repeat_pm": 300, "word_length_pc": 1500}
 #: The fence is the median plus so many times the distance between the quartiles.
 FENCE = 4
 
