@@ -1,6 +1,6 @@
 """Toxicity scores by a factorization machine over hashed terms.
 
-Terms are words, and the leading bytes of longer words, hashed into a fixed number of slots. The machine is
+Terms are words, their leading bytes (stems) and the stems that a text repeats, hashed into a fixed number of slots. The machine is
 
     bias + sum_i w_i x_i + sum_(i<j) <v_i, v_j> x_i x_j
 
@@ -12,6 +12,7 @@ linear time. Labels, language, source and ids are no inputs of a score.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,15 +31,20 @@ ACTIVE = 1024
 LEAST_Z = 4.0
 FACTORS = 8
 PREFIX = 6
+#: A stem is a term of its own from so many occurrences in a text on.
+OFTEN = (1, 2, 3, 5)
 TOXIC_AT = 0.7
 
 _SPLIT = bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
 
 
 def terms(text: bytes | None) -> np.ndarray:
-    """Distinct slots of a text's terms."""
-    words = set((text or b"").decode("utf-8", "replace").lower().encode().translate(_SPLIT).split())
-    hashes = [zlib.crc32(w) for w in words] + [zlib.crc32(w[:PREFIX], 1) for w in words if len(w) > PREFIX]
+    """Distinct slots of a text's terms: its words, its stems, and the stems that come often."""
+    words = Counter((text or b"").decode("utf-8", "replace").lower().encode().translate(_SPLIT).split())
+    stems: Counter[bytes] = Counter()
+    for w, n in words.items():
+        stems[w[:PREFIX]] += n
+    hashes = [zlib.crc32(w) for w in words] + [zlib.crc32(s, least) for s, n in stems.items() for least in OFTEN if n >= least]
     return np.unique(np.array(hashes, np.uint32) % np.uint32(SLOTS))
 
 
