@@ -31,11 +31,13 @@ from lanewise.llm._common import shuffle_partitions, table, written
 
 CAPACITY = 2048
 SEPARATOR = 0
-GROUPS = 96
+GROUPS = 512
 #: Pieces up to capacity / SMALL are small.
 SMALL = 8
 #: Words whose ids a worker keeps.
-CACHE = 300_000
+CACHE = 600_000
+#: Texts whose new words are encoded together.
+TOGETHER = 64
 
 # The letters and digits among the code points that the fast path takes, all of which are in form NFC.
 _LETTERS = "a-zªµºß-öø-įı-ɏ"
@@ -79,16 +81,20 @@ class WordEncoder:
             for w, a, b in zip(part, ends, ends[1:]):
                 self._ids[w] = ids[a:b].tobytes()
 
+    def many(self, texts: list[str]) -> Iterator[bytes]:
+        for at in range(0, len(texts), TOGETHER):
+            part = texts[at : at + TOGETHER]
+            split = [_PIECE.findall(t.lower()) if _PLAIN.fullmatch(t) and not any(s in t for s in self._special) else None for t in part]
+            known = self._ids
+            self._learn([w for w in dict.fromkeys(w for words in split if words for w in words) if w not in known])
+            for text, words in zip(part, split):
+                try:
+                    yield self._whole(text) if words is None else b"".join(map(known.__getitem__, words))
+                except KeyError:  # the words kept were cleared on the way
+                    yield self._whole(text)
+
     def __call__(self, text: str) -> bytes:
-        if not _PLAIN.fullmatch(text) or any(s in text for s in self._special):
-            return self._whole(text)
-        words = _PIECE.findall(text.lower())
-        try:
-            return b"".join(map(self._ids.__getitem__, words))
-        except KeyError:
-            self._learn([w for w in dict.fromkeys(words) if w not in self._ids])
-        known = self._ids
-        return b"".join([known[w] for w in words]) if all(w in known for w in words) else self._whole(text)
+        return next(self.many([text]))
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -107,8 +113,8 @@ def pieces(df: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str
         encode = _encoder(vocabulary)
         for b in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            for i, text in enumerate(b.column(1)):
-                ids = encode(text.as_py() or "") + SEPARATOR.to_bytes(4, "little")
+            for i, ids in enumerate(encode.many([t or "" for t in b.column(1).to_pylist()])):
+                ids += SEPARATOR.to_bytes(4, "little")
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     row.append(i)
