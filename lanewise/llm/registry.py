@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["simhash", "suffix", "quality", "secrets", "toxicity", "packing"]
+MODULES = ["simhash", "suffix", "quality", "secrets", "toxicity", "packing", "urls"]
 
 
 def _modules() -> list:
