@@ -200,19 +200,19 @@ def training_pages(seed: int = 11, pages: int = 160) -> list[str]:
         if kind == "nav":
             return pick(f"<nav>{listed(6)}</nav>", f"<div class='menu'>{listed(5)}</div>", f"<div>{links(6, ' | ')}</div>", f"<header><p>{text(1, 4)}</p>{listed(4)}</header>", f"<ul class='breadcrumbs'><li>{links(1, '')}</li><li>{text(1, 3)}</li></ul>")
         if kind == "ad":
-            return pick(f"<div class='ad'>{text(3, 30)}.</div>", f"<div id='promo-banner'><p>{text(5, 40)}.</p></div>", f"<aside><p>{text(8, 40)}.</p></aside>", f"<section class='sponsored'><h3>{text(2, 5)}</h3><p>{text(5, 30)}.</p></section>")
+            return pick(f"<div class='ad'>{text(3, 30)}.</div>", f"<div id='promo-banner'><p>{text(5, 40)}.</p></div>", f"<aside><p>{text(8, 120)}.</p></aside>", f"<section class='sponsored'><h3>{text(2, 5)}</h3><p>{text(5, 30)}.</p></section>")
         if kind == "notice":
-            return pick(f"<div class='cookie-notice'><p>{text(10, 60)}.</p></div>", f"<div role='alert'>{text(4, 25)}.</div>", f"<form><label>{text(1, 4)}</label><p>{text(3, 20)}.</p></form>", f"<div class='newsletter'><p>{text(6, 25)}.</p></div>")
+            return pick(f"<div class='cookie-notice'><p>{text(10, 120)}.</p></div>", f"<div role='alert'>{text(4, 25)}.</div>", f"<form><label>{text(1, 4)}</label><p>{text(3, 100)}.</p></form>", f"<div class='newsletter'><p>{text(6, 25)}.</p></div>")
         if kind == "side":
             return pick(f"<aside>{listed(5)}</aside>", f"<div class='sidebar'><h3>{text(1, 3)}</h3><p>{text(5, 40)}.</p></div>", f"<div class='related'>{listed(4)}</div>", f"<ul>{''.join(f'<li>{links(1, chr(32))}</li>' for _ in range(5))}</ul>")
         if kind == "comments":
-            return f"<{(t := pick('section', 'div'))} class='{pick('comments', 'comment-list', 'reader-comments')}'><h2>{text(1, 3)}</h2>" + "".join(f"<p>{text(4, 60)}.</p>" for _ in range(int(rng.integers(1, 5)))) + f"</{t}>"
-        return pick(f"<footer>{text(3, 25)}.</footer>", f"<footer><p>{text(2, 12)}</p>{links(3, ' | ')}</footer>", f"<div class='footer'>{text(3, 20)}</div>", f"<div id='copyright'>{text(2, 8)}. {text(4, 20)}.</div>", f"<p>{links(4, ' ')}</p>")
+            return f"<{(t := pick('section', 'div'))} class='{pick('comments', 'comment-list', 'reader-comments')}'><h2>{text(1, 3)}</h2>" + "".join(f"<p>{text(4, 120)}.</p>" for _ in range(int(rng.integers(1, 5)))) + f"</{t}>"
+        return pick(f"<footer>{text(3, 120)}.</footer>", f"<footer><p>{text(2, 12)}</p>{links(3, ' | ')}</footer>", f"<div class='footer'>{text(3, 20)}</div>", f"<div id='copyright'>{text(2, 8)}. {text(4, 20)}.</div>", f"<p>{links(4, ' ')}</p>")
 
     def content(lo: int = 1) -> str:
         body = [f"<h1>{_MARK}{text(2, 10)}.</h1>" if rng.random() < 0.8 else ""]
         for _ in range(int(rng.integers(2, 7))):
-            kind, words = rng.random(), (lo, 6) if rng.random() < 0.3 else (15, 90)
+            kind, words = rng.random(), (lo, lo + 5) if rng.random() < 0.3 else (15, 90)
             linked = f" {links(1, '')} {text(2, 9)}" if rng.random() < 0.2 else ""
             body.append(f"<h2>{_MARK}{text(2, 6)}</h2>" if kind < 0.12 else f"<ul><li>{_MARK}{text(4, 12)}</li><li>{_MARK}{text(4, 12)}</li></ul>" if kind < 0.2 else f"<blockquote>{_MARK}{text(8, 30)}.</blockquote>" if kind < 0.26 else f"<p>{_MARK}{text(*words)}{linked}{pick('.', '.', '.', '', ',')}</p>")
         return "".join(body)

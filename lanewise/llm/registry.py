@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["simhash", "suffix", "quality", "secrets", "toxicity", "packing", "urls", "html"]
+MODULES = ["topk", "quality", "html", "simhash", "suffix", "packing", "toxicity", "secrets", "urls"]
 
 
 def _modules() -> list:
