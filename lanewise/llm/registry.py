@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["topk", "quality", "html", "simhash", "suffix", "packing", "toxicity", "secrets", "urls"]
+MODULES = ["topk", "quality", "html", "simhash", "suffix", "packing", "pieces", "toxicity", "secrets", "urls"]
 
 
 def _modules() -> list:

@@ -22,7 +22,7 @@ SCALE = 1024
 K = 10
 #: Rows of a block of candidates, and of queries.
 BLOCK = 4096
-QUERIES_OF_BLOCK = 1024
+QUERIES_OF_BLOCK = 512
 #: Candidates that a chunk prunes together.
 CHUNK = 512
 #: Share of the squared length that the leading coordinates hold at least.
@@ -173,7 +173,7 @@ def top_k(spark: SparkSession, df: DataFrame, queries: DataFrame, id_col: str =
     """(query_id, rank, vec_id, score): the k rows of df with the highest inner products, for each row of queries.
 
     A query's candidates are the rows with another id and as many components. Ties go to the smaller id; rows of df that
-    share an id are candidates each, and repeated queries are answered once. Rows with a null id or vector, without
+    share an id are candidates each; repeated queries are answered once, and queries that share an id together. Rows with a null id or vector, without
     components, or with a null or non-finite component (scaled, too) take no part. Scores beyond a long are held at its
     ends. Empty tables give an empty one. Other columns are not read.
     """
@@ -226,7 +226,7 @@ def _meet(asked: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     pairs = asked.select("dim", "block").join(heads, "dim")
     q = asked.select("dim", "block", "least", *[F.col(n).alias(f"q_{n}") for n in names])
     c = candidates.select("dim", "part", *[F.col(n).alias(f"c_{n}") for n in names])
-    joined = pairs.select("dim", "block", "part").join(c, ["dim", "part"]).join(q, ["dim", "block"])
+    joined = pairs.select("dim", "block", "part").join(q, ["dim", "block"]).join(c, ["dim", "part"])  # the smaller blocks travel
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
