@@ -29,6 +29,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _FOLDERS[app]
 
 
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete the tables written so far. Only for callers whose earlier results are stored elsewhere."""
+    folder = _FOLDERS.pop(spark.sparkContext.applicationId, None)
+    if folder:
+        _delete(spark, folder)
+
+
 def _delete(spark: SparkSession, folder: str) -> None:
     with contextlib.suppress(Exception):  # the session may have ended before the interpreter
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)

@@ -340,11 +340,11 @@ def _cut(text: bytes, runs: list[tuple[int, int]] | None) -> tuple[bytes, int, i
 
 
 def remove_repeats(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, group: int = GROUP, bucket: int = BUCKET, keep: list[str] | None = None) -> DataFrame:
-    """One row per row of df: id_col, n_bytes, n_removed, n_spans (long), kept_sha256 (hex) and kept_text (binary).
+    """One row per row of df: id_col, n_bytes, n_removed, n_spans (long), kept_sha256 (hex) and kept_text.
 
     A byte goes if a string of `length` bytes that covers it also starts anywhere else, in the same or another row;
-    matches stay within a row. A null text counts as empty. Repeated rows count as occurrences of each other. kept_text
-    may break a UTF-8 character at a run's end. keep names further columns to carry along; others are not read.
+    matches stay within a row. A null text counts as empty. Repeated rows count as occurrences of each other. kept_sha256
+    is that of the bytes left; kept_text is their text, without what is left of a character that a run's end cut. keep names further columns to carry along; others are not read.
     """
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     own = df.select(F.col(id_col).alias("id"), F.unhex(F.md5(text)).alias("digest"), text.alias("text"), F.struct(F.lit(0).alias("_"), *[F.col(k) for k in keep or []]).alias("more"))
@@ -353,14 +353,14 @@ def remove_repeats(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", t
     by_text = written(spark, runs.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("runs")), "runs")
     joined = own.join(by_text, "digest", "left").select("id", "text", "runs", "more")
     fields = joined.schema
-    out = f"id {fields['id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text binary, more {fields['more'].dataType.simpleString()}"
+    out = f"id {fields['id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, more {fields['more'].dataType.simpleString()}"
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).to_pylist()
             cut = [_cut(t, r and [(x["start"], x["stop"]) for x in r]) for t, r in zip(texts, b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([c[1] for c in cut], pa.int64()), pa.array([c[2] for c in cut], pa.int64()), pa.array([hashlib.sha256(c[0]).hexdigest() for c in cut], pa.string()), pa.array([c[0] for c in cut], pa.binary()), b.column(3)],
+                [b.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([c[1] for c in cut], pa.int64()), pa.array([c[2] for c in cut], pa.int64()), pa.array([hashlib.sha256(c[0]).hexdigest() for c in cut], pa.string()), pa.array([c[0].decode("utf-8", "ignore") for c in cut], pa.string()), b.column(3)],
                 names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "more"],
             )
 
