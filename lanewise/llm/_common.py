@@ -18,20 +18,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (tests, local mode) a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    app = spark.sparkContext.applicationId
-    if app not in _FOLDERS:
-        base = base or "file://" + tempfile.mkdtemp(prefix="lanewise-")
-        _FOLDERS[app] = folder = f"{base.rstrip('/')}/lanewise-{uuid.uuid4().hex}"
+def _folder(spark: SparkSession, kind: str) -> str:
+    key = f"{spark.sparkContext.applicationId}/{kind}"
+    if key not in _FOLDERS:
+        base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lanewise-")
+        _FOLDERS[key] = folder = f"{base.rstrip('/')}/lanewise-{kind}-{uuid.uuid4().hex}"
         atexit.register(_delete, spark, folder)
-    return _FOLDERS[app]
+    return _FOLDERS[key]
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A folder for scratch tables in spark.checkpoint.dir; only where that is unset (tests, local mode) a temporary one."""
+    return _folder(spark, "scratch")
+
+
+def pipeline_folder(spark: SparkSession) -> str:
+    """As shared_dir, for the tables between stages, which outlive scratch tables."""
+    return _folder(spark, "pipeline")
 
 
 def drop_scratch(spark: SparkSession) -> None:
     """Delete the tables written so far. Only for callers whose earlier results are stored elsewhere."""
-    folder = _FOLDERS.pop(spark.sparkContext.applicationId, None)
+    folder = _FOLDERS.pop(f"{spark.sparkContext.applicationId}/scratch", None)
     if folder:
         _delete(spark, folder)
 
