@@ -35,7 +35,7 @@ GRAM = 8
 GROUP = 200
 #: Classes of a bucket.
 BUCKET = 16_384
-#: Bits of the context bitmap at most (16 MB); the bitmap has 32 bits a context below that.
+#: Bits of a bitmap at most (16 MB).
 BITS = 1 << 27
 #: Texts longer than this are anchored in overlapping segments.
 SEGMENT = 1 << 23
@@ -194,19 +194,32 @@ def _bucket(rows: list[tuple[bytes, int, int, int, int]], length: int, reach: in
 
 
 def _bitmap(spark: SparkSession, keys: DataFrame) -> tuple:
-    """(broadcast bitmap of the keys, its bits): 32 bits a key, and BITS at most whatever the corpus."""
+    """(broadcast bitmap of the keys, its bits): 16 to 32 bits a key, and BITS at most whatever the corpus."""
     keys = keys.toDF("key")
-    bits = 1 << max(16, min(BITS.bit_length() - 1, (32 * keys.count()).bit_length()))
-    slot = F.shiftrightunsigned("key", 5).bitwiseAND(F.lit(bits - 1))
-    words = keys.select(slot.alias("slot")).selectExpr("shiftright(slot, 6) AS w", "shiftleft(1L, cast(slot & 63 AS int)) AS b").groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
-    bitmap = np.zeros(bits // 64, np.int64)
-    bitmap[words["w"].to_numpy()] = words["b"].to_numpy()
-    return spark.sparkContext.broadcast(bitmap.view(np.uint64)), bits
+    bits = 1 << max(16, min(BITS.bit_length() - 1, (16 * keys.count()).bit_length()))
+    part = min(bits, 1 << 18)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(bits // 8, np.uint8)
+        for b in batches:
+            s = _slot(b.column(0).to_numpy(), bits)
+            np.bitwise_or.at(held, (s >> np.uint64(3)).astype(np.int64), np.uint8(1) << (s & np.uint64(7)).astype(np.uint8))
+        for i, cell in enumerate(held.reshape(-1, part // 8)):
+            if cell.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([cell.tobytes()], pa.binary())], names=["part", "cell"])
+
+    # Keys are dealt by their part of the bitmap, so each part comes to the driver from one task.
+    dealt = keys.withColumn("part", F.shiftrightunsigned("key", 5).bitwiseAND(F.lit(bits - 1)) / part).select("key", F.floor("part").alias("part")).repartition("part").select("key")
+    bitmap = np.zeros(bits // 8, np.uint8)
+    for r in dealt.mapInArrow(gather, "part int, cell binary").toLocalIterator():
+        at = r["part"] * part // 8
+        bitmap[at : at + part // 8] |= np.frombuffer(r["cell"], np.uint8)
+    return spark.sparkContext.broadcast(bitmap), bits
 
 
 def _known(bitmap: np.ndarray, bits: int, keys: np.ndarray) -> np.ndarray:
     s = _slot(keys, bits)
-    return (bitmap[s >> np.uint64(6)] >> (s & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return (bitmap[s >> np.uint64(3)] >> (s & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
 
 
 def removal_intervals(spark: SparkSession, texts: DataFrame, length: int = LENGTH, group: int = GROUP, bucket: int = BUCKET) -> DataFrame:
@@ -258,8 +271,9 @@ def removal_intervals(spark: SparkSession, texts: DataFrame, length: int = LENGT
             yield b.filter(pa.array(_known(wanted.value, wanted_bits, b.column(1).to_numpy())))
 
     places = found.select("key", "span", (F.col("at") - F.col("lo")).alias("place"), "bytes")
-    spans = places.mapInArrow(only_wanted, places.schema).join(undecided, ["key", "span"])
-    spans = written(spark, spans.groupBy("key", "span").agg(F.first("n").alias("n"), F.first("classes").alias("classes"), F.first("place").alias("place"), F.first("bytes").alias("bytes")), "spans")
+    # One row per class, combined before the shuffle: a class that very many documents hold is one row per task.
+    one = places.mapInArrow(only_wanted, places.schema).groupBy("key", "span").agg(F.first("place").alias("place"), F.first("bytes").alias("bytes"))
+    spans = written(spark, one.join(undecided, ["key", "span"]), "spans")
     hits = _sorted_hits(spark, spans.filter(F.col("classes") <= group), length, reach, bucket)
     large = spans.filter(F.col("classes") > group)
     if not large.isEmpty():
