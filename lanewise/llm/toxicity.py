@@ -100,11 +100,10 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rounds: int = 300, rate: flo
     square = data**2
     for t in range(1, rounds + 1):
         bias, linear, factors = params
-        inner = data @ factors.astype(np.float32)
-        s = bias + data @ linear + 0.5 * (inner**2 - square @ (factors**2)).sum(axis=1)
-        error = ((1 / (1 + np.exp(-np.clip(s, -30, 30)))) - labels) * weight
-        back = data.T @ error
-        grads = [np.array([error.sum()]), back + l2 * linear, data.T @ (error[:, None] * inner) - factors * (square.T @ error)[:, None] + l2 * factors]
+        inner = data @ factors.astype(np.float32)  # single precision: no copies of the data
+        s = bias + data @ linear.astype(np.float32) + 0.5 * ((inner**2).sum(axis=1) - square @ (factors**2).sum(axis=1).astype(np.float32))
+        error = (((1 / (1 + np.exp(-np.clip(s, -30, 30)))) - labels) * weight).astype(np.float32)
+        grads = [np.array([error.sum()]), error @ data + l2 * linear, data.T @ (error[:, None] * inner) - factors * (error @ square)[:, None] + l2 * factors]
         for a, g, m, v in zip(params, grads, first, second):
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
@@ -127,8 +126,8 @@ def learn(spark: SparkSession, df: DataFrame, labels: DataFrame, id_col: str = "
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([terms(t.as_py()).astype(np.int32).tobytes() for t in b.column(2)], pa.binary())], names=["id", "toxic", "slots"])
 
-    rows = texts.select(F.col("id").cast("long").alias("id"), "toxic", "text").mapInArrow(run, "id long, toxic int, slots binary").orderBy(F.xxhash64("id"), "id", F.xxhash64("slots")).limit(sample).toPandas()
-    return fit([np.frombuffer(s, np.int32) for s in rows["slots"]], rows["toxic"].to_numpy(np.float64))
+    rows = texts.select(F.col("id").cast("long").alias("id"), "toxic", "text").mapInArrow(run, "id long, toxic int, slots binary").orderBy(F.xxhash64("id"), "id", F.xxhash64("slots")).limit(sample).collect()
+    return fit([np.frombuffer(r["slots"], np.int32) for r in rows], np.array([r["toxic"] for r in rows], np.float64))
 
 
 def toxicity_scores(spark: SparkSession, df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, keep: list[str] | None = None) -> DataFrame:
