@@ -10,9 +10,9 @@ forest of the links it finds, never all pairs; the components are then joined ac
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 from lanewise.llm._common import table, written
 from lanewise.llm.graph import connected_components
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 #: Points that the routing tree is fitted on, at most; every point is indexed.
 SAMPLE = 65_536
 #: Points at home in a shard that the tree aims for, and of a chunk.
@@ -146,6 +149,8 @@ def linked(a: np.ndarray, b: np.ndarray, radius: int, small: int = 1 << 18) -> I
 
 def _forest(task: pd.DataFrame, radius: int) -> pd.DataFrame:
     """Edges (src, dst) from each linked point of a task to the least point it is linked to."""
+    import pandas as pd
+
     left, right = (task[task["side"] == s]["fp"].to_numpy() for s in (0, 1))
     own = len(right) == 0
     b = left if own else right
@@ -173,7 +178,7 @@ def links(spark: SparkSession, points: DataFrame, radius: int, shard: int = SHAR
     n = points.count()
     share = min(1.0, SAMPLE / max(1, n))
     some = points.filter(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(2 * SAMPLE)
-    sample = some.toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    sample = np.array([r["fp"] for r in some.toLocalIterator()], np.int64).view(np.uint64)
     nodes = build_tree(sample, max(8, int(shard * share)), radius)
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
