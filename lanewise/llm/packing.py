@@ -19,8 +19,10 @@ from __future__ import annotations
 import bisect
 import os
 import re
+import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +39,16 @@ SMALL = 8
 #: Words whose ids a worker keeps.
 CACHE = 600_000
 #: Texts whose new words are encoded together.
-TOGETHER = 64
+TOGETHER = 256
 
 # The letters and digits among the code points that the fast path takes, all of which are in form NFC.
 _LETTERS = "a-zªµºß-öø-įı-ɏ"
 _DIGITS = "0-9²³¹¼-¾"
 _PLAIN = re.compile("[\t\n\r\x20-\x7e¡-įı-ɏ]*")
 _PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^\\s{_LETTERS}{_DIGITS}]+")
+# The byte-level map shows the bytes of the printable characters as these, and the others in order from U+0100 on.
+_HIDDEN = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b)]
+_SHOWN = {b: 256 + i for i, b in enumerate(_HIDDEN)}
 
 
 def default_vocabulary() -> str:
@@ -70,23 +75,23 @@ class WordEncoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self._ids) + len(words) > CACHE:
+    def _learn(self, words: Iterable[str]) -> None:
+        """Ids of single words from the tokenizer's model, which sees a word's UTF-8 bytes as the characters of the byte-level map."""
+        if len(self._ids) > CACHE:
             self._ids.clear()
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            found = self._tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids, owner = np.array(found.ids, "<u4"), np.array(found.word_ids)
-            ends = np.searchsorted(owner, np.arange(len(part) + 1))
-            for w, a, b in zip(part, ends, ends[1:]):
-                self._ids[w] = ids[a:b].tobytes()
+        model = self._tokenizer.model
+        for w in words:
+            shown = w if w.isascii() else w.encode().decode("latin-1").translate(_SHOWN)
+            ids = [t.id for t in model.tokenize(shown)]
+            self._ids[w] = struct.pack(f"<{len(ids)}I", *ids)
 
     def many(self, texts: list[str]) -> Iterator[bytes]:
         for at in range(0, len(texts), TOGETHER):
             part = texts[at : at + TOGETHER]
             split = [_PIECE.findall(t.lower()) if _PLAIN.fullmatch(t) and not any(s in t for s in self._special) else None for t in part]
             known = self._ids
-            self._learn([w for w in dict.fromkeys(w for words in split if words for w in words) if w not in known])
+            new = set(chain.from_iterable(filter(None, split))).difference(known)
+            self._learn(new)
             for text, words in zip(part, split):
                 try:
                     yield self._whole(text) if words is None else b"".join(map(known.__getitem__, words))
