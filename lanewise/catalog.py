@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lanewise.operators import analytics, relational
+from lanewise.plans import portable
+
 FLAGSHIP = "c09_invoice_outliers"
 
+PLANS = relational.PLANS | analytics.PLANS
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    name, spark_text, _ = relational.TUPLE_COUNT
+    return portable.queries(PLANS) | portable.queries({name: spark_text})
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    name, _, oracle_text = relational.TUPLE_COUNT
+    return {k: portable.oracle_sql(v) for k, v in PLANS.items()} | {name: portable.oracle_sql(oracle_text)}
