@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lanewise.operators import analytics, relational
+from lanewise.functions import scalars
+from lanewise.operators import analytics, identity, relational
 from lanewise.plans import portable
+from lanewise.sources import files
+from lanewise.streaming import state
 
 FLAGSHIP = "c09_invoice_outliers"
 
@@ -16,9 +19,9 @@ PLANS = relational.PLANS | analytics.PLANS
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     name, spark_text, _ = relational.TUPLE_COUNT
-    return portable.queries(PLANS) | portable.queries({name: spark_text})
+    return portable.queries(PLANS) | portable.queries({name: spark_text}) | scalars.QUERIES | identity.QUERIES | state.QUERIES | files.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
     name, _, oracle_text = relational.TUPLE_COUNT
-    return {k: portable.oracle_sql(v) for k, v in PLANS.items()} | {name: portable.oracle_sql(oracle_text)}
+    return {k: portable.oracle_sql(v) for k, v in PLANS.items()} | {name: portable.oracle_sql(oracle_text)} | scalars.ORACLES | state.ORACLES | files.ORACLES

@@ -47,7 +47,7 @@ PLANS: dict[str, str] = {
     "a03_distinct_counts": "SELECT reporting_country, count(DISTINCT hs_code_6) AS codes, count(DISTINCT buyer_id) AS buyers, count(DISTINCT supplier_id) AS suppliers FROM ledger GROUP BY 1",
     "a05_filtered_aggregates": "SELECT reporting_country, count(*) FILTER (WHERE hidden_buyer) AS hidden, round(CAST(sum(value_usd) FILTER (WHERE qty_kg > 10) AS DOUBLE), 2) AS value_over_10 FROM ledger GROUP BY 1",
     "a06_conditional_distinct": "SELECT hs_code_6, count(DISTINCT CASE WHEN value_usd > 50000 THEN buyer_id END) AS large_buyers FROM ledger GROUP BY 1",
-    "a07_indicator_sums": "SELECT year, sum(CASE WHEN buyer_id IS NULL THEN 1 ELSE 0 END) AS missing, sum(CASE WHEN container_id IS NOT NULL THEN 1 ELSE 0 END) AS contained FROM (SELECT year, buyer_id, container_id FROM ledger) x GROUP BY year",
+    "a07_indicator_sums": "SELECT year, CAST(sum(CASE WHEN buyer_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing, CAST(sum(CASE WHEN container_id IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS contained FROM (SELECT year, buyer_id, container_id FROM ledger) x GROUP BY year",
     "a08_guarded_ratio": f"SELECT supplier_id, CASE WHEN sum(qty_kg) > 0 THEN round({_V} / NULLIF(CAST(sum(qty_kg) AS DOUBLE), 0), 6) END AS price FROM ledger GROUP BY 1",
     "a09_percentiles": "SELECT hs_code_6, percentile_cont(0.25) WITHIN GROUP (ORDER BY round(price_per_kg * 10000)) / 10000 AS p25, percentile_cont(0.5) WITHIN GROUP (ORDER BY round(price_per_kg * 10000)) / 10000 AS p50, percentile_cont(0.75) WITHIN GROUP (ORDER BY round(price_per_kg * 10000)) / 10000 AS p75 FROM ledger GROUP BY 1",
     "a10_stddev": "SELECT supplier_id, round(stddev_samp(CAST(n AS DOUBLE)), 6) AS spread FROM (SELECT supplier_id, year, month, count(*) AS n FROM ledger GROUP BY 1, 2, 3) x GROUP BY 1",

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 AS_OF = "DATE '2001-07-01'"
@@ -71,7 +72,8 @@ def oracle_sql(sql: str) -> str:
 def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     text = spark_sql(sql)
     used = set(re.findall(r"\{(\w+)\}", text))
-    return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+    out = spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+    return out.select(*[F.col(f"`{c}`").cast("long").alias(c) if kind == "int" else F.col(f"`{c}`") for c, kind in out.dtypes])
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
