@@ -183,7 +183,7 @@ def top_k(spark: SparkSession, df: DataFrame, queries: DataFrame, id_col: str =
     parts = max(1, -(-n // (4 * block)))
     dealt = vectors.repartitionByRange(parts, F.col("dim"), F.col("norm").desc(), "id").sortWithinPartitions("dim", F.col("norm").desc(), "id")
     candidates = written(spark, dealt.select("id", "dim", "v").mapInArrow(_blocks(block, rotate), _BLOCK_SCHEMA).withColumn("part", F.monotonically_increasing_id()), "candidates")
-    asked = _vectors(queries, id_col, vector_col, scale).dropDuplicates(["id", "v"])
+    asked = _vectors(queries, id_col, vector_col, scale).filter(F.col("dim").isin(list(rotate))).dropDuplicates(["id", "v"])
     asked_parts = max(1, -(-asked.count() // (4 * query_block)))
     grouped = asked.repartitionByRange(asked_parts, "dim", "norm", "id").sortWithinPartitions("dim", "norm", "id")
     asked = written(spark, grouped.select("id", "dim", "v").mapInArrow(_blocks(query_block, rotate), _BLOCK_SCHEMA).withColumn("block", F.monotonically_increasing_id()), "queries")
