@@ -75,9 +75,14 @@ class PieceTable:
         self.keys = np.array([k for k, _, _ in by_hash], np.uint64)
         self.ids = np.array([i for _, i, _ in by_hash], np.int64)
         self.ranks = np.array([r for _, _, r in by_hash], np.float64)
+        self._relation = [(p, i, -s) for p, i, s in normal]
         if len(np.unique(self.keys)) != len(self.keys):
             raise ValueError("two pieces have one hash")
 
+    def relation(self) -> list[tuple[str, int, float]]:
+        """(piece, id, rank) of every piece of characters."""
+        return self._relation
+
     def edges(self, points: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, id, rank) of every piece of two or more characters inside a word; ends[i] is the end of the word of point i."""
         out = []

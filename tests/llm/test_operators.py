@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lanewise.llm import html, packing, pieces, quality, registry, secrets, simhash, stages, suffix, topk, toxicity, urls
+from lanewise.llm import html, lattice, packing, pieces, quality, registry, secrets, simhash, stages, suffix, topk, toxicity, urls
 
 SF = "/root/testdata/sf0.001"
 LONG = "passage " + " ".join(f"w{i % 97}x{i}" for i in range(60))
@@ -134,6 +134,14 @@ def test_pieces(spark, docs):
     assert Counter(r["text"] for r in pieces.decoded(ids).collect()) == Counter(t or "" for _, t in ROWS)
 
 
+def test_relational_lattice_equals_the_array_form(spark, docs):
+    more = spark.createDataFrame([(10, "a  b   c é𝄞x\tq\n"), (11, "   "), (12, "▁▁ a▁b"), (13, "x" * 61 + " " + "x" * 60), (14, "internationalization 你好 😀😀")], "doc_id long, text string")
+    df = docs.unionByName(more, allowMissingColumns=True)
+    rows = lambda d: Counter((r["doc_id"], bytes(r["ids"])) for r in d.collect())
+    assert rows(lattice.encoded_relational(spark, df)) == rows(pieces.encoded(df))
+    assert lattice.encoded_relational(spark, df.limit(0)).count() == 0
+
+
 def test_html(spark):
     page = "<html><nav><a href=/a>Menu</a></nav><div class='ad'>Buy now.</div><article><h1>Title&amp;</h1><script>var t='</p>';</script><p>One <b>two</b>\n three.<p>Hi.</article><div class=comments><p>" + "me too " * 40 + "</p></div><footer>End</footer>"
     cases = [page, None, "", "<", "<p", "<script>never closed", page[: page.index("three") + 5]]
