@@ -28,6 +28,8 @@ TOGETHER = 256
 SPACE_MARK = "▁"
 _WORD = re.compile(f"{SPACE_MARK}*[^{SPACE_MARK}]+|{SPACE_MARK}+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_TOP_BITS = 20
+_TOP_SHIFT = np.uint64(64 - _TOP_BITS)
 
 
 def default_model() -> str:
@@ -75,6 +77,8 @@ class PieceTable:
         self.keys = np.array([k for k, _, _ in by_hash], np.uint64)
         self.ids = np.array([i for _, i, _ in by_hash], np.int64)
         self.ranks = np.array([r for _, _, r in by_hash], np.float64)
+        self._held = np.zeros(1 << _TOP_BITS, bool)  # which leading bits some key has: most substrings end here, before the search
+        self._held[self.keys >> _TOP_SHIFT] = True
         self._relation = [(p, i, -s) for p, i, s in normal]
         if len(np.unique(self.keys)) != len(self.keys):
             raise ValueError("two pieces have one hash")
@@ -91,6 +95,8 @@ class PieceTable:
             if not len(starts):
                 break
             h = _hashes(points, starts, size)
+            maybe = np.flatnonzero(self._held[h >> _TOP_SHIFT])
+            h, starts = h[maybe], starts[maybe]
             at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
             hit = self.keys[at] == h
             out.append((starts[hit], starts[hit] + size, self.ids[at[hit]], self.ranks[at[hit]]))
