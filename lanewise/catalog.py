@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lanewise.functions import scalars
 from lanewise.operators import analytics, identity, relational
 from lanewise.plans import portable
-from lanewise.sources import files
+from lanewise.sources import discovery, files
 from lanewise.streaming import state
 
 FLAGSHIP = "c09_invoice_outliers"
@@ -19,7 +19,7 @@ PLANS = relational.PLANS | analytics.PLANS
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     name, spark_text, _ = relational.TUPLE_COUNT
-    return portable.queries(PLANS) | portable.queries({name: spark_text}) | scalars.QUERIES | identity.QUERIES | state.QUERIES | files.QUERIES
+    return portable.queries(PLANS) | portable.queries({name: spark_text}) | scalars.QUERIES | identity.QUERIES | state.QUERIES | files.QUERIES | discovery.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:

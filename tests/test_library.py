@@ -1,5 +1,7 @@
 """Golden tables of the scalar functions, state operators, files, identity, and a few plans against DuckDB."""
 
+import zipfile
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 from lanewise import catalog
 from lanewise.functions import scalars as X
 from lanewise.operators import identity
-from lanewise.sources import files
+from lanewise.sources import discovery, excel, files
 from lanewise.streaming import state
 
 SF = "/root/testdata/sf0.001"
@@ -74,6 +76,53 @@ def test_files_and_stream(spark, tmp_path):
     assert sum(seen) == 3
 
 
+def workbook(path):
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{office}"><sheets><sheet name="a" sheetId="1" r:id="x1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="x1" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}"><si><t>Importer Name</t></si><si><r><t>HS </t></r><r><t>CODE</t></r><rPh><t>no</t></rPh></si><si><t>ACME &amp; CO</t></si></sst>')
+        z.writestr("xl/styles.xml", f'<styleSheet xmlns="{main}"><numFmts><numFmt numFmtId="170" formatCode="0.0&quot;days&quot;"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="170"/></cellXfs></styleSheet>')
+        rows = [
+            '<row r="1"><c r="A1" t="inlineStr"><is><t>a note</t></is></c></row>',
+            '<row r="3"><c r="A3" t="s"><v>0</v></c><c r="B3" t="s"><v>1</v></c><c r="D3" t="str"><v>Imp_Date</v></c><c r="E3" t="str"><v>Days</v></c></row>',
+            '<row r="4"><c r="A4" t="s"><v>2</v></c><c r="B4"><v>6.90721E9</v></c><c r="C4" t="b"><v>1</v></c><c r="D4" s="1"><v>45000</v></c><c r="E4" s="2"><v>1.5</v></c></row>',
+            '<row r="5"><c r="A5" t="inlineStr"><is><t> </t></is></c></row>',
+            '<row r="6"><c r="AA6"><v>7</v></c></row>',
+        ]
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData>{"".join(rows)}</sheetData></worksheet>')
+
+
+def test_workbook(spark, tmp_path):
+    workbook(tmp_path / "Sri Lanka Import F (2).xlsx")
+    path = str(tmp_path / "Sri Lanka Import F (2).xlsx")
+    first = discovery.first_rows(spark, path)
+    assert discovery.header_row(first) == 3 and discovery.header_row([]) == 1
+    df = excel.read_xlsx(spark, path, header_row=3)
+    assert df.columns == ["IMPORTER_NAME", "HS_CODE", "IMP_DATE", "DAYS"]
+    assert [tuple(r) for r in df.collect()] == [("ACME & CO", "6907210000", "2023-03-15", "1.5"), (None, None, None, None)]
+    mapping = discovery.draft_mapping("SRILANKA", "IMPORT", "FULL", df.columns, 3)
+    assert mapping["column_mapping"]["import_date_raw"] == "IMPORTER_NAME"  # a draft, as its first pattern says
+    assert mapping["column_mapping"]["value_raw"] == "TODO_VALUE" and mapping["defaults"]["destination_country_raw"] == "SRILANKA"
+    row = files.standardize(files.raw_rows(df), mapping).first()
+    assert (row["buyer_name"], row["hs_code_6"], row["value_usd"]) == ("ACME", "690721", None)  # CO is a legal form
+    assert discovery.column_roles(["TOTAL_VALUE_USD", "UNIT", "x"])["other"] == ["x"]
+
+
+def test_file_names(spark):
+    names = ["Sri Lanka Import F (2).xlsx", "Kenya export Short.xlsx", "Chad BL Import S.xlsx", "output_excel.xlsx", None]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    rows = df.select(*[c.alias(k) for k, c in discovery.file_name(F.col("n")).items()]).collect()
+    assert [tuple(r) for r in rows] == [("SRILANKA", "IMPORT", "FULL"), ("KENYA", "EXPORT", "SHORT"), ("CHAD_BL", "IMPORT", "SHORT"), (None,) * 3, (None,) * 3]
+
+
+def test_role_flags_agree(spark):
+    flags = {r["name"]: r for r in discovery.s21_column_roles(spark, SF).collect()}
+    roles = discovery.column_roles(list(flags))
+    assert all(flags[n][role] == (n in roles[role]) for n in flags for role in discovery.ROLES)
+
+
 def test_identity(spark):
     found = identity.candidates(spark.createDataFrame([("Acme Ltd", "Blue Sky Traders", "India", "Kenya"), ("Blue Sky Traders", "Acme", "Kenya", "Kenya")], "buyer_raw string, supplier_raw string, origin string, destination string"))
     stored = spark.createDataFrame([("id1", "BLUE SKY TRADERSS", "KENYA", "SUPPLIER")], "org_id string, name string, country string, type string")
