@@ -86,7 +86,7 @@ def draft_text(mapping: dict) -> str:
 
 
 def _role_flags(df: DataFrame, name: str) -> DataFrame:
-    return df.select(name, *[F.exists(F.array(*map(F.lit, patterns)), lambda p: F.upper(name).rlike(F.concat(F.lit("^(?:"), p, F.lit(")")))).alias(role) for role, patterns in ROLES.items()])
+    return df.select(name, *[F.exists(F.array(*map(F.lit, patterns)), lambda p: F.rlike(F.upper(name), F.concat(F.lit("^"), p))).alias(role) for role, patterns in ROLES.items()])
 
 
 def s21_column_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
