@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,6 +86,24 @@ def draft_text(mapping: dict) -> str:
     return json.dumps(mapping, indent=2, ensure_ascii=False)
 
 
+def load_mapping(folder: str, country: str, direction: str, source_format: str = "FULL") -> dict:
+    """The mapping of a layout: the file of its format, else that of its direction; .yml files, or .json without a YAML reader."""
+    stem = f"{country}_{direction}".lower()
+    for name in (f"{stem}_{source_format.lower()}", stem):
+        for path in (Path(folder) / f"{name}.yml", Path(folder) / f"{name}.json"):
+            if path.exists():
+                return _parsed(path.read_text(encoding="utf-8"))
+    raise FileNotFoundError(f"no mapping of {country} {direction} {source_format} in {folder}")
+
+
+def _parsed(text: str) -> dict:
+    try:
+        import yaml
+    except ImportError:
+        return json.loads(text)
+    return yaml.safe_load(text)
+
+
 def _role_flags(df: DataFrame, name: str) -> DataFrame:
     return df.select(name, *[F.exists(F.array(*map(F.lit, patterns)), lambda p: F.rlike(F.upper(name), F.concat(F.lit("^"), p))).alias(role) for role, patterns in ROLES.items()])
 

@@ -40,6 +40,11 @@ def late_window(watermark: str | None, last: str, days: int = LATE_DAYS) -> tupl
     return start, f"DATE '{last}'"
 
 
+def joint_watermark(*marks: str | None) -> str | None:
+    """The oldest of the watermarks of outputs that are built together; null, a full build, if one has none."""
+    return None if None in marks else min(marks, default=None)
+
+
 def recompute(facts: DataFrame, delta: DataFrame, keys: list[str], build: Callable[[DataFrame], DataFrame], state: DataFrame) -> DataFrame:
     """State after building the keys that delta touches anew from their whole history."""
     touched = delta.select(*keys).distinct()

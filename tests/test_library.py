@@ -10,7 +10,7 @@ from lanewise import catalog
 from lanewise.functions import scalars as X
 from lanewise.operators import identity
 from lanewise.sources import discovery, excel, files
-from lanewise.streaming import state
+from lanewise.streaming import runs, state
 
 SF = "/root/testdata/sf0.001"
 NAMES = [
@@ -117,6 +117,34 @@ def test_file_names(spark):
     assert [tuple(r) for r in rows] == [("SRILANKA", "IMPORT", "FULL"), ("KENYA", "EXPORT", "SHORT"), ("CHAD_BL", "IMPORT", "SHORT"), (None,) * 3, (None,) * 3]
 
 
+def test_runs(spark, tmp_path):
+    log = str(tmp_path / "log")
+    with runs.tracked(spark, log, "load") as run:
+        run.add(rows=2)
+        run.checkpoint()
+        assert [r["status"] for r in runs.running(spark.read.parquet(log)).collect()] == ["RUNNING"]
+        run.add(rows=3)
+    with pytest.raises(ValueError), runs.tracked(spark, log, "load"):
+        raise ValueError("x" * 5000)
+    with runs.tracked(spark, log, "other") as run:
+        run.partial("one file is missing")
+    table = spark.read.schema(runs.SCHEMA).parquet(log)
+    assert {(r["pipeline"], r["status"], r["counts"].get("rows"), r["note"]) for r in runs.runs(table).collect()} == {("load", "SUCCESS", 5, None), ("load", "FAILED", None, None), ("other", "PARTIAL", None, "one file is missing")}
+    last = {r["pipeline"]: r for r in runs.latest(table).collect()}
+    assert last["load"]["status"] == "FAILED" and len(last["load"]["error"]) == runs.ERROR_LENGTH and last["load"]["completed_at"] >= last["load"]["started_at"]
+    assert runs.running(table).count() == 0
+
+
+def test_mappings_fall_back(tmp_path):
+    (tmp_path / "kenya_import_full.yml").write_text(discovery.draft_text({"header_row": 6}))
+    (tmp_path / "kenya_import.yml").write_text(discovery.draft_text({"header_row": 1}))
+    assert discovery.load_mapping(str(tmp_path), "KENYA", "IMPORT")["header_row"] == 6
+    assert discovery.load_mapping(str(tmp_path), "KENYA", "IMPORT", "SHORT")["header_row"] == 1
+    with pytest.raises(FileNotFoundError):
+        discovery.load_mapping(str(tmp_path), "KENYA", "EXPORT")
+    assert state.joint_watermark("2024-02-01", "2024-01-05") == "2024-01-05" and state.joint_watermark("2024-02-01", None) is None
+
+
 def test_role_flags_agree(spark):
     flags = {r["name"]: r for r in discovery.s21_column_roles(spark, SF).collect()}
     roles = discovery.column_roles(list(flags))
