@@ -41,8 +41,8 @@ def late_window(watermark: str | None, last: str, days: int = LATE_DAYS) -> tupl
 
 
 def joint_watermark(*marks: str | None) -> str | None:
-    """The oldest of the watermarks of outputs that are built together; null, a full build, if one has none."""
-    return None if None in marks else min(marks, default=None)
+    """The oldest known watermark of outputs that are built together; null, a full build, if none is known."""
+    return min((m for m in marks if m is not None), default=None)
 
 
 def recompute(facts: DataFrame, delta: DataFrame, keys: list[str], build: Callable[[DataFrame], DataFrame], state: DataFrame) -> DataFrame:

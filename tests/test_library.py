@@ -142,7 +142,7 @@ def test_mappings_fall_back(tmp_path):
     assert discovery.load_mapping(str(tmp_path), "KENYA", "IMPORT", "SHORT")["header_row"] == 1
     with pytest.raises(FileNotFoundError):
         discovery.load_mapping(str(tmp_path), "KENYA", "EXPORT")
-    assert state.joint_watermark("2024-02-01", "2024-01-05") == "2024-01-05" and state.joint_watermark("2024-02-01", None) is None
+    assert state.joint_watermark("2024-02-01", "2024-01-05") == "2024-01-05" and state.joint_watermark("2024-02-01", None) == "2024-02-01" and state.joint_watermark(None, None) is None
 
 
 def test_role_flags_agree(spark):
