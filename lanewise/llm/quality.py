@@ -3,7 +3,8 @@
 Every rule measures a document as a whole number. A mergeable quantile sketch holds the measures of each language and
 source: a histogram of log-linear buckets (6 significant bits, so a quantile is off by 1 part in 32 at most). Sketches
 merge by adding counts, in any order and to any level, so small groups use the sketch of their language, or of the whole
-corpus. A rule's threshold is a fence above the group's quartiles, and the thresholds are joined back to the documents.
+corpus. A rule's threshold is a high quantile of the group's own sketch, with no constant beside it: most measures are zero
+almost everywhere, so quartiles say nothing of them. The thresholds are joined back to the documents.
 
 DataFrame and SQL functions only: no Python runs on the executors.
 """
@@ -19,10 +20,10 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: Documents that a group needs for a sketch of its own.
 MIN_GROUP = 100
-#: A rule's fence is at least its floor: measures below it never reject a document.
-RULES = {"symbols_pm": 100, "dup_lines_pm": 500, "repeat_pm": 300, "word_length_pc": 1500}
-#: The fence is the median plus so many times the distance between the quartiles.
-FENCE = 4
+RULES = ["symbols_pm", "dup_lines_pm", "repeat_pm", "word_length_pc"]
+#: A rule accepts what is at most this percentile of the group: the greatest measure of the bucket it falls in, so that
+#: equal documents of a group fare alike.
+FENCE = 95
 
 
 def measures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -66,24 +67,22 @@ def sketches(rated: DataFrame) -> DataFrame:
     return each.groupBy("lang", "source", "rule", bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def _quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, rule, n, q1, q2, q3) of a sketch merged to keys."""
+def _fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, rule, n, most) of a sketch merged to keys: its documents, and the highest measure it accepts."""
     merged = sketch.groupBy(*keys, "rule", "bucket").agg(F.sum("n").alias("n"))
     own = Window.partitionBy(*keys, "rule")  # the buckets of one sketch: a few hundred rows at most
     ranked = merged.select(*keys, "rule", "bucket", F.sum("n").over(own.orderBy("bucket")).alias("upto"), F.sum("n").over(own).alias("total"))
-    least = [F.min(F.when(F.expr(f"4 * upto >= {k} * total"), F.col("bucket"))).alias(f"q{k}") for k in (1, 2, 3)]
-    return ranked.groupBy(*keys, "rule").agg(F.max("total").alias("n"), *least)
+    fence = ranked.groupBy(*keys, "rule").agg(F.max("total").alias("n"), F.min(F.when(F.expr(f"100 * upto >= {FENCE} * total"), F.col("bucket"))).alias("bucket"))
+    return fence.withColumn("most", F.expr("CASE WHEN bucket < 64 THEN bucket ELSE bucket + shiftleft(1L, length(bin(bucket)) - 6) - 1 END")).drop("bucket")
 
 
 def thresholds(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     """(lang, source, one column per rule): the highest measure that each group accepts."""
-    by_group, by_lang, by_all = (_quantiles(sketch, keys) for keys in (["lang", "source"], ["lang"], []))
-    q = lambda df, name: df.select(*[c for c in ("lang", "source", "rule") if c in df.columns], F.struct("n", "q1", "q2", "q3").alias(name))
+    by_group, by_lang, by_all = (_fences(sketch, keys) for keys in (["lang", "source"], ["lang"], []))
+    q = lambda df, name: df.select(*[c for c in ("lang", "source", "rule") if c in df.columns], F.struct("n", "most").alias(name))
     used = F.when(F.col("g.n") >= min_group, F.col("g")).when(F.col("l.n") >= min_group, F.col("l")).otherwise(F.col("a"))
     chosen = q(by_group, "g").join(q(by_lang, "l"), ["lang", "rule"]).join(q(by_all, "a"), ["rule"]).select("lang", "source", "rule", used.alias("u"))
-    floor = F.create_map(*[F.lit(x) for pair in RULES.items() for x in pair])[F.col("rule")]
-    fenced = chosen.select("lang", "source", "rule", F.greatest(floor, F.expr(f"u.q2 + {FENCE} * (u.q3 - u.q1)")).alias("most"))
-    return fenced.groupBy("lang", "source").agg(*[F.max(F.when(F.col("rule") == r, F.col("most"))).alias(f"most_{r}") for r in RULES])
+    return chosen.groupBy("lang", "source").agg(*[F.max(F.when(F.col("rule") == r, F.col("u.most"))).alias(f"most_{r}") for r in RULES])
 
 
 def quality_verdicts(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_group: int = MIN_GROUP) -> DataFrame:
@@ -106,7 +105,7 @@ def op2_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(spark, table(spark, sf_dir, "documents"))
 
 
-_RULES_SQL = ", ".join(f"('{r}', {floor}::BIGINT)" for r, floor in RULES.items())
+_RULES_SQL = ", ".join(f"('{r}')" for r in RULES)
 _SQL = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t,
@@ -131,7 +130,7 @@ rated AS (
          n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM stats),
 each AS (
   SELECT lang, source, rule, CASE rule WHEN 'symbols_pm' THEN symbols_pm WHEN 'dup_lines_pm' THEN dup_lines_pm WHEN 'repeat_pm' THEN repeat_pm ELSE word_length_pc END AS v
-  FROM rated, (VALUES {_RULES_SQL}) AS r(rule, floor)),
+  FROM rated, (VALUES {_RULES_SQL}) AS r(rule)),
 b AS (SELECT lang, source, rule, CASE WHEN v < 64 THEN v ELSE (v >> (length(bin(v)) - 6)) << (length(bin(v)) - 6) END AS bucket FROM each),
 level AS (
   SELECT 1 AS l, lang, source, rule, bucket, count(*) AS n FROM b GROUP BY lang, source, rule, bucket
@@ -140,14 +139,11 @@ level AS (
 cum AS (
   SELECT *, sum(n) OVER (PARTITION BY l, lang, source, rule ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY l, lang, source, rule) AS total FROM level),
 q AS (
-  SELECT l, lang, source, rule, max(total) AS n, min(CASE WHEN 4 * upto >= total THEN bucket END) AS q1,
-         min(CASE WHEN 4 * upto >= 2 * total THEN bucket END) AS q2, min(CASE WHEN 4 * upto >= 3 * total THEN bucket END) AS q3
+  SELECT l, lang, source, rule, max(total) AS n, min(CASE WHEN 100 * upto >= {FENCE} * total THEN bucket + CASE WHEN bucket < 64 THEN 0 ELSE (1 << (length(bin(bucket)) - 6)) - 1 END END) AS most
   FROM cum GROUP BY l, lang, source, rule),
 fence AS (
-  SELECT g.lang, g.source, g.rule,
-         greatest(r.floor, CASE WHEN g.n >= {MIN_GROUP} THEN g.q2 + {FENCE} * (g.q3 - g.q1) WHEN x.n >= {MIN_GROUP} THEN x.q2 + {FENCE} * (x.q3 - x.q1) ELSE a.q2 + {FENCE} * (a.q3 - a.q1) END) AS most
-  FROM q g JOIN q x ON x.l = 2 AND x.lang = g.lang AND x.rule = g.rule JOIN q a ON a.l = 3 AND a.rule = g.rule
-  JOIN (VALUES {_RULES_SQL}) AS r(rule, floor) ON r.rule = g.rule WHERE g.l = 1),
+  SELECT g.lang, g.source, g.rule, CASE WHEN g.n >= {MIN_GROUP} THEN g.most WHEN x.n >= {MIN_GROUP} THEN x.most ELSE a.most END AS most
+  FROM q g JOIN q x ON x.l = 2 AND x.lang = g.lang AND x.rule = g.rule JOIN q a ON a.l = 3 AND a.rule = g.rule WHERE g.l = 1),
 most AS (
   SELECT lang, source, {", ".join(f"max(CASE WHEN rule = '{r}' THEN most END)::BIGINT AS most_{r}" for r in RULES)} FROM fence GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

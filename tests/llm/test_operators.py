@@ -194,3 +194,20 @@ def test_stages_keep_columns(spark, docs):
     assert sorted(r["doc_id"] for r in kept if r["text"] and r["text"].startswith("passage")) == [1]
     hidden = {r["doc_id"]: r["text"] for r in stages.redact_secrets(spark, docs, SF).collect()}
     assert hidden[7] == "[assign] [assign] [assign] " and hidden[9] == LONG.upper()
+
+
+def test_quality_follows_the_group(spark):
+    """One text, with one symbol in ten words, in a group of such texts and in a group without symbols: only the second rejects it."""
+    words = lambda i, n: " ".join(f"word{i}x{k}" for k in range(n))
+    marked = lambda i: " ".join(f"word{i}x{k}" + ("#" if k % 12 == 0 else "") for k in range(60))
+    rows = [(i, "en", "code", marked(i)) for i in range(120)] + [(200 + i, "en", "prose", words(i, 60)) for i in range(120)] + [(400, "en", "prose", marked(0)), (401, "en", "rare", marked(0))]
+    got = {r["doc_id"]: r for r in quality.quality_verdicts(spark, spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")).collect()}
+    assert got[0]["symbols_pm"] == got[400]["symbols_pm"] == 83 and got[0]["kept"] and not got[400]["kept"] and not got[400]["base_failed"]
+    # A small group has the sketch of its language, in which marked texts are half.
+    assert got[401]["kept"] and got[401]["most_symbols_pm"] == got[0]["most_symbols_pm"] and all(got[200 + i]["kept"] for i in range(120))
+    # Every fence against the exact percentile of its group: at or above it by less than 1 part in 32.
+    for source in ("code", "prose"):
+        own = [got[r[0]] for r in rows if r[2] == source]
+        for rule in quality.RULES:
+            exact = sorted(r[rule] for r in own)[-(-quality.FENCE * len(own) // 100) - 1]
+            assert {exact <= r[f"most_{rule}"] <= exact * 33 / 32 for r in own} == {True}
