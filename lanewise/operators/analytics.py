@@ -69,16 +69,19 @@ FROM (SELECT supplier_id, origin_country, count(*) AS n, {_V} AS value_usd, coun
 LEFT JOIN (SELECT supplier_id, origin_country, count(*) AS months, CAST(sum(n) AS DOUBLE) / count(*) AS mean_n, round(stddev_samp(CAST(n AS DOUBLE)), 8) AS spread FROM exporter_month GROUP BY supplier_id, origin_country) s
   ON s.supplier_id = t.supplier_id AND s.origin_country = t.origin_country""")
 
-# Equality on country pair, product and month apart from the band on days: the equal keys carry the join, the bands filter it.
+# Equality on country pair and product, whoever the supplier: rivals are what the lead over the second guards against. An import
+# lies in one bucket of 31 days, and the 31 days that an export looks at lie in one or two, so every pair meets once.
 view("mirror_candidate", """
-SELECT export_id, import_id, lag_days, imported_buyer, 40 + CASE WHEN qty_gap <= 5e-2 THEN 25 ELSE 0 END + CASE WHEN lag_days BETWEEN 15 AND 45 THEN 20 ELSE 0 END
+SELECT export_id, import_id, lag_days, imported_buyer, 40 + CASE WHEN same_qty THEN 25 ELSE 0 END + CASE WHEN lag_days BETWEEN 15 AND 45 THEN 20 ELSE 0 END
        + CASE WHEN same_container THEN 10 ELSE 0 END + CASE WHEN same_vessel THEN 5 ELSE 0 END AS score
 FROM (SELECT e.transaction_id AS export_id, i.transaction_id AS import_id, @days(i.shipment_date; e.shipment_date) AS lag_days, i.buyer_id AS imported_buyer,
-             abs(CAST(i.qty_kg AS DOUBLE) - CAST(e.qty_kg AS DOUBLE)) / CAST(e.qty_kg AS DOUBLE) AS qty_gap,
+             coalesce(e.qty_kg > 0 AND abs(i.qty_kg - e.qty_kg) <= e.qty_kg * 0.05, FALSE) AS same_qty,
              coalesce(e.container_id = i.container_id, FALSE) AS same_container, coalesce(e.vessel_name = i.vessel_name, FALSE) AS same_vessel
-      FROM ledger e JOIN ledger i ON e.destination_country = i.reporting_country AND e.origin_country = i.origin_country AND e.hs_code_6 = i.hs_code_6 AND e.supplier_id = i.supplier_id
-      WHERE e.direction = 'EXPORT' AND e.hidden_buyer AND i.direction = 'IMPORT' AND i.buyer_id IS NOT NULL AND e.qty_kg > 0
-        AND i.qty_kg BETWEEN e.qty_kg * 0.95 AND e.qty_kg * 1.05
+      FROM (SELECT l.*, floor((@days(l.shipment_date; DATE '1970-01-01') + 15 + 30 * k) / 31) AS bucket FROM ledger l CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k) w
+            WHERE l.direction = 'EXPORT' AND l.hidden_buyer AND (k = 0 OR (@days(l.shipment_date; DATE '1970-01-01') + 15) % 31 <> 0)) e
+      JOIN (SELECT l.*, floor(@days(l.shipment_date; DATE '1970-01-01') / 31) AS bucket FROM ledger l WHERE l.direction = 'IMPORT' AND l.buyer_id IS NOT NULL) i
+        ON e.destination_country = i.reporting_country AND e.origin_country = i.origin_country AND e.hs_code_6 = i.hs_code_6 AND e.bucket = i.bucket
+      WHERE (e.qty_kg IS NULL OR e.qty_kg <= 0 OR i.qty_kg BETWEEN e.qty_kg * 0.95 AND e.qty_kg * 1.05)
         AND @days(i.shipment_date; e.shipment_date) BETWEEN 15 AND 45) x""")
 
 view("mirror_match", """

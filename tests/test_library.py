@@ -1,6 +1,8 @@
 """Golden tables of the scalar functions, state operators, files, identity, and a few plans against DuckDB."""
 
+import datetime
 import zipfile
+from decimal import Decimal as D
 
 import duckdb
 import pytest
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from lanewise import catalog
 from lanewise.functions import scalars as X
 from lanewise.operators import identity
+from lanewise.plans import portable
 from lanewise.sources import discovery, excel, files
 from lanewise.streaming import runs, state
 
@@ -170,3 +173,36 @@ def test_against_duckdb(spark, name):
     names = [d[0] for d in cursor.description]
     want = sorted(repr(tuple(dict(zip(names, r))[c] for c in columns)) for r in cursor.fetchall())
     assert rows == want
+
+
+def micro(spark, tmp_path, monkeypatch, rows, columns):
+    """A ledger made by hand in place of the view: plans read it from tmp_path."""
+    spark.createDataFrame(rows, columns).write.parquet(str(tmp_path / "micro.parquet"))
+    monkeypatch.setitem(portable.VIEWS, "ledger", "SELECT * FROM {micro}")
+    return lambda name: portable.run(spark, str(tmp_path), catalog.PLANS[name]).collect()
+
+
+def test_mirror_meets_every_supplier(spark, tmp_path, monkeypatch):
+    day = datetime.date(1999, 12, 20)
+    rows, want = [], {}
+    for k in range(40):  # each export has a product of its own, and another place among the buckets of days
+        qty = [10, 10, None, 0][k % 4]
+        rows.append((f"e{k}", "EXPORT", "INDIA", "INDIA", "KENYA", f"p{k}", 1, None, True, day + datetime.timedelta(k), None if qty is None else D(qty), None, "v"))
+        for lag in (14, 15, 30, 45, 46):
+            for supplier, kg in ((1, "10.4"), (2, "9.6"), (3, "20")):
+                rows.append((f"i{k}-{lag}-{supplier}", "IMPORT", "KENYA", "INDIA", "KENYA", f"p{k}", supplier, 7, False, day + datetime.timedelta(k + lag), D(kg), None, None))
+                if 15 <= lag <= 45 and (not qty or supplier < 3):
+                    want[f"e{k}", f"i{k}-{lag}-{supplier}"] = 85 if qty else 60
+    # One export with a rival of another supplier, and one with none.
+    for name, suppliers in (("tied", (1, 2)), ("sole", (2,))):
+        rows.append((name, "EXPORT", "INDIA", "INDIA", "KENYA", name, 1, None, True, day, D(10), None, "v"))
+        rows += [(f"{name}-{s}", "IMPORT", "KENYA", "INDIA", "KENYA", name, s, s, False, day + datetime.timedelta(20), D(10), None, None) for s in suppliers]
+        want |= {(name, f"{name}-{s}"): 85 for s in suppliers}
+    # A quantity off by 5 % exactly is inside the band and scores like any other there.
+    rows += [("edge", "EXPORT", "INDIA", "INDIA", "KENYA", "edge", 1, None, True, day, D(34), None, "v")]
+    rows += [(f"edge-{kg}", "IMPORT", "KENYA", "INDIA", "KENYA", "edge", 1, 5, False, day + datetime.timedelta(20), D(kg), None, None) for kg in ("34", "35.7", "35.71")]
+    want |= {("edge", "edge-34"): 85, ("edge", "edge-35.7"): 85}
+    plan = micro(spark, tmp_path, monkeypatch, rows, "transaction_id string, direction string, reporting_country string, origin_country string, destination_country string, hs_code_6 string, supplier_id long, buyer_id long, hidden_buyer boolean, shipment_date date, qty_kg decimal(18,4), container_id string, vessel_name string")
+    found = plan("j12_mirror_candidates")
+    assert {(r["export_id"], r["import_id"]): r["score"] for r in found} == want and len(found) == len(want)
+    assert {r["export_id"]: r["imported_buyer"] for r in plan("c14_mirror_match")} == {"sole": 2}
