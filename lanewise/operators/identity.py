@@ -37,13 +37,15 @@ def resolve(found: DataFrame, stored: DataFrame, least: float = 0.8) -> DataFram
 
 
 def c16_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Organisations of the customers and suppliers against a store of the customers with even keys."""
+    """Organisations of all customers and suppliers against the store that a load of the first year of orders left."""
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name")
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     s = spark.read.parquet(f"{sf_dir}/supplier.parquet").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
     found = c.select(organisation(F.col("c_name")).alias("name"), F.col("n_name").alias("country"), F.lit("BUYER").alias("role"), F.col("c_name").alias("raw")).unionByName(s.select(organisation(F.col("s_name")).alias("name"), F.col("n_name").alias("country"), F.lit("SUPPLIER").alias("role"), F.col("s_name").alias("raw")))
-    stored = c.filter("c_custkey % 2 = 0").select(F.col("c_custkey").cast("string").alias("org_id"), organisation(F.col("c_name")).alias("name"), F.col("n_name").alias("country"), F.lit("SUPPLIER").alias("type"))
-    return resolve(found, stored, 0.95).groupBy("type", "match").agg(F.count("*").alias("n"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", F.year("o_orderdate").alias("year"))
+    early = orders.join(orders.agg(F.min("year").alias("year")), "year").select(F.col("o_custkey").alias("c_custkey"))
+    stored = c.join(early, "c_custkey", "left_semi").select(F.col("c_custkey").cast("string").alias("org_id"), organisation(F.col("c_name")).alias("name"), F.col("n_name").alias("country"), F.lit("SUPPLIER").alias("type"))
+    return resolve(found, stored).groupBy("type", "match").agg(F.count("*").alias("n"))
 
 
 QUERIES = {"c16_identity": c16_identity}

@@ -1,6 +1,7 @@
 """Golden tables of the scalar functions, state operators, files, identity, and a few plans against DuckDB."""
 
 import datetime
+import re
 import zipfile
 from decimal import Decimal as D
 
@@ -206,3 +207,17 @@ def test_mirror_meets_every_supplier(spark, tmp_path, monkeypatch):
     found = plan("j12_mirror_candidates")
     assert {(r["export_id"], r["import_id"]): r["score"] for r in found} == want and len(found) == len(want)
     assert {r["export_id"]: r["imported_buyer"] for r in plan("c14_mirror_match")} == {"sole": 2}
+
+
+def test_identity_against_brute_force(spark):
+    """Every open customer of sf0.01 beside every stored one of its country: the counts at the threshold of the reference."""
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    orgs = con.execute(f"SELECT c_custkey, c_name, c_nationkey, c_custkey IN (SELECT o_custkey FROM '{sf}/orders.parquet' WHERE year(o_orderdate) = (SELECT min(year(o_orderdate)) FROM '{sf}/orders.parquet')) FROM '{sf}/customer.parquet'").fetchall()
+    grams = lambda name: {p[i : i + 3] for w in re.findall("[a-z0-9]+", name.lower()) for p in ["  " + w + " "] for i in range(len(p) - 2)}
+    stored = [(n, grams(name)) for _, name, n, early in orgs if early]
+    like = lambda a, b: len(a & b) / len(a | b)
+    fuzzy = sum(any(n == m and like(g, h) >= 0.8 for m, h in stored) for n, g in [(n, grams(name)) for _, name, n, early in orgs if not early])
+    got = {(r["type"], r["match"]): r["n"] for r in identity.c16_identity(spark, sf).collect()}
+    suppliers = con.execute(f"SELECT count(*) FROM '{sf}/supplier.parquet'").fetchone()[0]
+    assert fuzzy > 0 and got == {("MIXED", "EXACT"): len(stored), ("MIXED", "FUZZY"): fuzzy, ("BUYER", "NEW"): len(orgs) - len(stored) - fuzzy, ("SUPPLIER", "NEW"): suppliers}
