@@ -221,3 +221,26 @@ def test_identity_against_brute_force(spark):
     got = {(r["type"], r["match"]): r["n"] for r in identity.c16_identity(spark, sf).collect()}
     suppliers = con.execute(f"SELECT count(*) FROM '{sf}/supplier.parquet'").fetchone()[0]
     assert fuzzy > 0 and got == {("MIXED", "EXACT"): len(stored), ("MIXED", "FUZZY"): fuzzy, ("BUYER", "NEW"): len(orgs) - len(stored) - fuzzy, ("SUPPLIER", "NEW"): suppliers}
+
+
+TRADES = "transaction_id string, direction string, reporting_country string, origin_country string, destination_country string, hs_code_6 string, supplier_id long, buyer_id long, shipment_date date, qty_kg decimal(18,4), value_usd decimal(18,2), year long, month long"
+
+
+def trades(months):
+    """Imports of PROMO: one row per (buyer, year, month, value)."""
+    return [(f"t{k:03}", "IMPORT", "KENYA", "INDIA", "KENYA", "PROMO", 1, b, datetime.date(y, m, 5), D(10), D(v), y, m) for k, (b, y, m, v) in enumerate(months)]
+
+
+#: Four buyers: values of 40,000, 10,000, 15,000 and 20,000 over 4, 1, 3 and 2 months of 2, 1, 1 and 2 years.
+FOUR = [(31, 2000, 11, 10000), (31, 2000, 12, 10000), (31, 2001, 1, 10000), (31, 2001, 2, 10000), (32, 2001, 1, 10000), (33, 2001, 1, 5000), (33, 2001, 2, 5000), (33, 2001, 3, 5000), (34, 2000, 12, 10000), (34, 2001, 1, 10000)]
+
+
+def test_plans_cover_the_whole_ledger(spark, tmp_path, monkeypatch):
+    rows = trades([*FOUR, (None, 1996, 3, 70000)])
+    plan = micro(spark, tmp_path, monkeypatch, rows, TRADES)
+    assert [len(plan(n)) for n in ("p04_date_precedence", "p05_ledger_projection", "p08_casts")] == [len(rows)] * 3
+    assert [(r["buyer_id"], r["transaction_id"]) for r in plan("o02_nulls_last")] == sorted([(r[7], r[0]) for r in rows], key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+    assert {r["buyer_id"] for r in plan("a13_distinct_rows")} == {31, 32, 33, 34, None}
+    assert sorted((r["buyer_id"], r["year"], r["month"]) for r in plan("w07_top_origin_per_month")) == sorted((b, y, m) for b, y, m, _ in FOUR)
+    # A cohort of under five is scaled to its largest buyer; rows without a buyer are no member.
+    assert {r["buyer_id"]: (r["scaled"], r["cohort"]) for r in plan("w09_cohort_max")} == {31: (1.0, 4), 32: (0.25, 4), 33: (0.375, 4), 34: (0.5, 4)}
