@@ -143,11 +143,15 @@ FROM (SELECT buyer_id, max(destination_country) AS destination_country, {_V} AS
 JOIN (SELECT buyer_id, {_V} AS value_usd FROM ledger WHERE direction = 'IMPORT' AND buyer_id IS NOT NULL AND shipment_date >= {AS_OF} - INTERVAL '720' DAY GROUP BY buyer_id) a ON a.buyer_id = b.buyer_id
 LEFT JOIN buyer_risk r ON r.buyer_id = b.buyer_id WHERE b.value_usd >= 1000""")
 
+# Quality is a known class (the persona of the largest profile), months and years; B3 to B5 are classes that no profile gives yet.
 view("hunt_score", """
 SELECT buyer_id, destination_country, value_usd, n, share_pct, risk_level,
-       round(least(100e0, greatest(0e0, CASE WHEN cohort < 5 THEN 40 * value_usd / NULLIF(most, 0) ELSE 40 * CAST(below AS DOUBLE) / cohort END
-         + least(months, 12) + 2 * least(years, 4) + 15 * least(share_pct / 50, 1e0) + CASE risk_level WHEN 'LOW' THEN 15 WHEN 'MEDIUM' THEN 8 WHEN 'UNSCORED' THEN 6 WHEN 'HIGH' THEN 2 ELSE 0 END)), 1) AS score
-FROM (SELECT *, rank() OVER (ORDER BY value_usd) - 1 AS below, count(*) OVER () AS cohort, max(value_usd) OVER () AS most FROM hunted) x""")
+       round(least(100e0, greatest(0e0, CASE WHEN cohort < 5 THEN 20 + 20 * value_usd / NULLIF(most, 0) ELSE 40 * CAST(below AS DOUBLE) / cohort END
+         + least(months, 12) + 2 * least(years, 4) + 15 * least(share_pct / 50, 1e0) + CASE risk_level WHEN 'LOW' THEN 15 WHEN 'MEDIUM' THEN 8 WHEN 'UNSCORED' THEN 6 WHEN 'HIGH' THEN 2 ELSE 0 END
+         + CASE WHEN class <> 'Unknown' THEN 4 ELSE 0 END + CASE WHEN months >= 3 THEN 3 ELSE 0 END + CASE WHEN years >= 2 THEN 3 ELSE 0 END
+         + CASE WHEN class IN ('B4', 'B5') THEN 3 WHEN class = 'B3' THEN 1 ELSE 0 END)), 1) AS score
+FROM (SELECT h.*, coalesce(p.persona, 'Unknown') AS class, rank() OVER (ORDER BY h.value_usd) - 1 AS below, count(*) OVER () AS cohort, max(h.value_usd) OVER () AS most
+      FROM hunted h LEFT JOIN (SELECT buyer_id, persona, row_number() OVER (PARTITION BY buyer_id ORDER BY value_usd DESC, destination_country) AS rk FROM buyer_profile) p ON p.buyer_id = h.buyer_id AND p.rk = 1) x""")
 
 _TOP = lambda what, who, where: f"SELECT {who}, {what}, value_usd, n, rk FROM (SELECT {who}, {what}, {_V} AS value_usd, count(*) AS n, row_number() OVER (PARTITION BY {who} ORDER BY {_V} DESC, {what}) AS rk FROM ledger WHERE {where} GROUP BY {who}, {what}) x WHERE rk <= 5"
 

@@ -244,3 +244,11 @@ def test_plans_cover_the_whole_ledger(spark, tmp_path, monkeypatch):
     assert sorted((r["buyer_id"], r["year"], r["month"]) for r in plan("w07_top_origin_per_month")) == sorted((b, y, m) for b, y, m, _ in FOUR)
     # A cohort of under five is scaled to its largest buyer; rows without a buyer are no member.
     assert {r["buyer_id"]: (r["scaled"], r["cohort"]) for r in plan("w09_cohort_max")} == {31: (1.0, 4), 32: (0.25, 4), 33: (0.375, 4), 34: (0.5, 4)}
+
+
+@pytest.mark.parametrize(("more", "want"), [([], {31: 79.0, 32: 53.0, 33: 60.5, 34: 64.0}), ([(35, 2001, 1, 4000)], {31: 71.0, 32: 36.0, 33: 49.0, 34: 58.0, 35: 28.0})])
+def test_opportunity_score(spark, tmp_path, monkeypatch, more, want):
+    """Volume (20 and a share of 20 in a small cohort, else a share of 40), months, years twice, focus 15, unscored 6, quality 4 + 3 + 3."""
+    plan = micro(spark, tmp_path, monkeypatch, trades([*FOUR, *more]), TRADES)
+    assert {r["buyer_id"]: r["score"] for r in plan("c19_opportunity_score")} == want
+    assert [r["buyer_id"] for r in plan("c20_top_targets")] == sorted(want, key=lambda b: -want[b])
