@@ -50,14 +50,15 @@ def fingerprint(text: bytes | None) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<i8")[0])
 
 
-def with_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) of every row; a null text counts as one without words."""
+def with_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """(id, fp) of every row, and row if row_col is given; a null text counts as one without words."""
+    rows = ["row"] if row_col else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t.as_py()) for t in b.column(1)], pa.int64())], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t.as_py()) for t in b.column(1)], pa.int64()), *b.columns[2:]], names=["id", "fp", *rows])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "id long, fp long")
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), *[F.col(row_col).alias(r) for r in rows]).mapInArrow(run, "id long, fp long" + ", row long" * len(rows))
 
 
 def _distance(points: np.ndarray, vantage: np.uint64) -> np.ndarray:
@@ -203,6 +204,13 @@ def links(spark: SparkSession, points: DataFrame, radius: int, shard: int = SHAR
     return tasks.groupBy("shard", "i", "j").applyInPandas(lambda task: _forest(task, radius), "src long, dst long")
 
 
+def _members(spark: SparkSession, grouped: DataFrame, max_bits: int, shard: int, chunk: int, visitors: int) -> DataFrame:
+    """grouped (fp distinct, least): (fp, least, component) after linking."""
+    points = written(spark, grouped, "points")
+    joined = written(spark, connected_components(spark, links(spark, points.select("fp"), max_bits, shard, chunk, visitors)), "joined")
+    return written(spark, points.join(joined, points["fp"] == joined["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "member")
+
+
 def near_duplicates(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 2, shard: int = SHARD, chunk: int = CHUNK, visitors: int = VISITORS) -> DataFrame:
     """One row per row of df: (id_col long, fingerprint string of 16 hex digits, component_id long).
 
@@ -212,14 +220,25 @@ def near_duplicates(spark: SparkSession, df: DataFrame, id_col: str = "doc_id",
     one. Other columns of df are not read.
     """
     prints = written(spark, with_fingerprints(df, id_col, text_col), "prints")
-    points = written(spark, prints.groupBy("fp").agg(F.min("id").alias("least")), "points")
-    joined = written(spark, connected_components(spark, links(spark, points.select("fp"), max_bits, shard, chunk, visitors)), "joined")
-    member = written(spark, points.join(joined, points["fp"] == joined["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "member")
+    member = _members(spark, prints.groupBy("fp").agg(F.min("id").alias("least")), max_bits, shard, chunk, visitors)
     names = written(spark, member.groupBy("component").agg(F.min("least").alias("component_id")), "names")
     named = written(spark, member.select("fp", "component").join(names, "component").select("fp", "component_id"), "named")
     return prints.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def survivors(spark: SparkSession, df: DataFrame, row_col: str, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 2, shard: int = SHARD, chunk: int = CHUNK, visitors: int = VISITORS) -> DataFrame:
+    """(id_col, row_col): one row of each component that has an id: the least (id, fingerprint, row_col).
+
+    row_col is a long that tells rows of one id apart. Components are told apart by their links, not by their least id:
+    rows of one id with different texts may stand for several.
+    """
+    prints = written(spark, with_fingerprints(df, id_col, text_col, row_col), "prints")
+    least = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "fp", "row"))).alias("least")
+    member = _members(spark, prints.groupBy("fp").agg(least), max_bits, shard, chunk, visitors)
+    best = member.groupBy("component").agg(F.min("least").alias("least")).filter("least is not null")
+    return best.select(F.col("least.id").alias(id_col), F.col("least.row").alias(row_col))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, table(spark, sf_dir, "documents"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lanewise.llm._common import drop_scratch, table
 from lanewise.llm.packing import packed
 from lanewise.llm.secrets import redacted, secret_spans
-from lanewise.llm.simhash import near_duplicates
+from lanewise.llm.simhash import survivors
 from lanewise.llm.suffix import remove_repeats
 from lanewise.llm.toxicity import TOXIC_AT, toxicity_scores
 
@@ -31,11 +31,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near-duplicates; rows without an id stay."""
+    """One row of each group of near-duplicates: the least by id, fingerprint and a hash of its columns; rows without an id stay.
+
+    An id on rows with different texts keeps one of them for each group that it is the least of.
+    """
     drop_scratch(spark)
-    kept = near_duplicates(spark, docs).filter("doc_id = component_id").select("doc_id").distinct()
-    own = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return own.unionByName(docs.select(*COLUMNS).filter("doc_id is null"))
+    rows = docs.select(*COLUMNS, F.xxhash64(*COLUMNS, *[F.col(c).isNull() for c in COLUMNS]).alias("row"))
+    own = rows.join(survivors(spark, rows, "row"), ["doc_id", "row"], "left_semi").dropDuplicates(["doc_id", "row"])
+    return own.select(*COLUMNS).unionByName(docs.select(*COLUMNS).filter("doc_id is null"))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

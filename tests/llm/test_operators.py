@@ -211,3 +211,12 @@ def test_quality_follows_the_group(spark):
         for rule in quality.RULES:
             exact = sorted(r[rule] for r in own)[-(-quality.FENCE * len(own) // 100) - 1]
             assert {exact <= r[f"most_{rule}"] <= exact * 33 / 32 for r in own} == {True}
+
+
+def test_near_dedup_stage_tells_rows_of_one_id_apart(spark):
+    """Three texts under id 2: one is a copy of id 1, the others stand for groups of their own."""
+    a, b, c = (" ".join(f"{w}{k}" for k in range(80)) for w in ("alpha", "beta", "gamma"))
+    rows = [(1, a), (2, a), (2, b), (5, b), (2, c), (2, c), (None, b), (7, None), (8, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit(None).cast("string"), "n_chars": F.length("text").cast("long")})
+    kept = stages.drop_near_duplicates(spark, df, SF)
+    assert kept.columns == stages.COLUMNS and Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(1, a), (2, b), (2, c), (None, b), (7, None)])
