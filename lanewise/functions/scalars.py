@@ -96,7 +96,7 @@ def organisation(raw: Column, expand: bool = False) -> Column:
     name = F.regexp_replace(name, "[\\u0300-\\u036f]", "")
     name = F.regexp_replace(name, r"""[.,\-/\\()&'"#@!?:;*+=\[\]{}|<>~`$%^_]""", " ")
     name = F.trim(F.regexp_replace(F.regexp_replace(name, r"^M\s*S\s+", ""), r"\s+", " "))
-    forms = sorted(dict.fromkeys(LEGAL_FORMS), key=lambda s: (-len(s), s))
+    forms = sorted(dict.fromkeys(LEGAL_FORMS), key=len, reverse=True)  # of equal lengths the first of the list goes first
     name = reduce(lambda c, form: F.regexp_replace(c, rf"\s+{form}$", ""), forms, name)  # one pass, longest first
     name = F.when(name.isin(forms) | (name == ""), None).otherwise(name)
     return F.array_join(F.transform(F.split(name, " "), lambda w: F.coalesce(_lookup(ABBREVIATIONS, w), w)), " ") if expand else name
@@ -155,9 +155,10 @@ def x10_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def x24_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_nationkey", "s_suppkey", "s_name")
-    o = s.select("s_nationkey", F.col("s_suppkey").alias("other"), F.col("s_name").alias("other_name"))
-    return s.join(o, "s_nationkey").filter("s_suppkey < other").select("s_suppkey", "other", F.round(similarity(F.col("s_name"), F.col("other_name")), 6).alias("similarity"))
+    """Every part's name beside its brand and type."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    other = F.concat_ws(" ", "p_brand", "p_type", "p_name")
+    return part.select("p_partkey", F.round(similarity(F.concat_ws(" ", "p_name", "p_type"), other), 6).alias("similarity"))
 
 
 def x01_clean_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,15 +168,78 @@ def x01_clean_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", hs_code_6(F.col("l_partkey").cast("string")).alias("hs_code_6"), F.round(kg, 4).alias("kg"), F.round(usd, 4).alias("usd"))
 
 
-QUERIES = {"x01_clean_fields": x01_clean_fields, "x10_names": x10_names, "x24_similarity": x24_similarity}
+def _spelled(column: str, forms: list[str], by: str) -> Column:
+    """One of several spellings of a value, by a number: tests of cleaning functions over whole tables."""
+    return F.element_at(F.array(*[F.expr(f.replace("?", column)) for f in forms]), (F.col(by) % len(forms) + 1).cast("int"))
+
+
+def x02_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    raw = _spelled("n_name", ["concat('  ', lower(?))", "'U.s.a.'", "'united arab emirates '", "''"], "n_nationkey")
+    return nation.select("n_nationkey", country(raw).alias("country"))
+
+
+def x03_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order dates in seven spellings, a spreadsheet's serial number among them, read back."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("d", F.to_date("o_orderdate"))
+    forms = [f"date_format(?, '{f}')" for f in ("yyyy-MM-dd", "dd/MM/yyyy", "dd-MMM-yyyy", "yyyyMMdd", "MMM yyyy")] + ["cast(datediff(?, date'1899-12-30') as string)", "'n/a'"]
+    return orders.select("o_orderkey", any_date(_spelled("d", forms, "o_orderkey")).alias("day"))
+
+
+def x05_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("n", F.floor("o_totalprice").cast("long"))
+    raw = _spelled("n", ["concat('$', format_number(?, 0))", "concat(?, ' ')", "concat('-', ?)", "'NaN'", "'twelve'", "concat('€ ', ?)"], "o_orderkey")
+    return line.select("o_orderkey", number(raw).alias("value"))
+
+
+def x08_teu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    kg = F.floor("l_quantity") * 1000
+    return line.groupBy(teu(kg).alias("teu"), price_per_kg(F.floor("l_quantity") * 50, kg).alias("price")).agg(F.count("*").alias("n"))
+
+
+def x11_org_country(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    origin = F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name"))
+    role = F.explode(F.array(F.lit("BUYER"), F.lit("SUPPLIER")))
+    each = nation.select("n_nationkey", "n_name", origin.alias("origin"), role.alias("role")).select("*", F.explode(F.array(F.lit("EXPORT"), F.lit("IMPORT"))).alias("direction"))
+    return each.select("n_nationkey", "role", "direction", organisation_country(F.col("role"), F.col("direction"), F.col("origin"), F.lit(None).cast("string"), F.col("n_name")).alias("country"))
+
+
+def x17_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return events.groupBy("user_id").agg((F.unix_timestamp(F.max("ts")) - F.unix_timestamp(F.min("ts"))).alias("seconds"))
+
+
+def x29_mail_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    text = _spelled("c_custkey", ["concat('a', ?, '@GMAIL.com')", "concat('b', ?, '@Firm.example')", "concat('none ', ?)", "concat('x@y@', ?, '.ru')"], "c_custkey")
+    return c.select("c_custkey", mail_domain(text).alias("domain"), is_free_mail(text).alias("free"))
+
+
+def x10_stacked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names with two legal forms: those of equal length go in the order of the list, each once."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    raw = _spelled("c_custkey", ["concat('Acme ', ?, ' LLC LTD')", "concat('Acme ', ?, ' INC LTD')", "concat('Acme ', ?, ' LTD LLC')", "concat('Acme ', ?, ' Pvt. Ltd.')", "'PRIVATE LIMITED'"], "c_custkey")
+    return c.select("c_custkey", organisation(raw).alias("normal"))
+
+
+QUERIES = {f.__name__: f for f in (x01_clean_fields, x10_names, x10_stacked, x24_similarity, x02_countries, x03_dates, x05_numbers, x08_teu, x11_org_country, x17_seconds, x29_mail_domains)}
 ORACLES = {
     "x01_clean_fields": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN length(CAST(l_partkey AS VARCHAR)) >= 2 THEN rpad(substr(CAST(l_partkey AS VARCHAR), 1, 6), 6, '0') END AS hs_code_6,
         round(CASE WHEN l_quantity <> 0 THEN l_quantity * CASE WHEN l_linenumber % 2 = 0 THEN 1000e0 ELSE 453592e-6 END END, 4) AS kg, round(CASE WHEN l_extendedprice <> 0 THEN l_extendedprice * 12e-3 END, 4) AS usd FROM lineitem""",
     "x10_names": "SELECT c_custkey AS id, c_name AS name, trim(replace(upper(c_name), '#', ' ')) AS normal FROM customer UNION ALL SELECT s_suppkey, s_name, trim(replace(upper(s_name), '#', ' ')) FROM supplier",
-    "x24_similarity": r"""WITH w AS (SELECT s_nationkey, s_suppkey, unnest(list_filter(regexp_split_to_array(lower(s_name), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM supplier),
-        g AS (SELECT DISTINCT s_nationkey, s_suppkey, substr('  ' || w || ' ', i, 3) AS t FROM (SELECT *, unnest(range(1, length(w) + 2)) AS i FROM w)),
-        n AS (SELECT s_suppkey, count(*) AS n FROM g GROUP BY 1),
-        p AS (SELECT a.s_suppkey, b.s_suppkey AS other FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey),
-        s AS (SELECT a.s_suppkey, b.s_suppkey AS other, count(*) AS shared FROM g a JOIN g b ON a.t = b.t AND a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey GROUP BY 1, 2)
-        SELECT p.s_suppkey, p.other, round(coalesce(shared, 0) / CAST(x.n + y.n - coalesce(shared, 0) AS DOUBLE), 6) AS similarity FROM p LEFT JOIN s USING (s_suppkey, other) JOIN n x ON x.s_suppkey = p.s_suppkey JOIN n y ON y.s_suppkey = p.other""",
+    "x24_similarity": r"""WITH t AS (SELECT p_partkey, p_name || ' ' || p_type AS a, p_brand || ' ' || p_type || ' ' || p_name AS b FROM part),
+        w AS (SELECT p_partkey, side, unnest(list_filter(regexp_split_to_array(lower(s), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM (SELECT p_partkey, 'a' AS side, a AS s FROM t UNION ALL SELECT p_partkey, 'b', b FROM t)),
+        g AS (SELECT DISTINCT p_partkey, side, substr('  ' || w || ' ', i, 3) AS t FROM (SELECT *, unnest(range(1, length(w) + 2)) AS i FROM w)),
+        n AS (SELECT p_partkey, t, count(*) AS sides FROM g GROUP BY 1, 2)
+        SELECT p_partkey, round(count(*) FILTER (sides = 2) / CAST(count(*) AS DOUBLE), 6) AS similarity FROM n GROUP BY 1""",
+    "x02_countries": "SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN upper(n_name) WHEN 1 THEN 'USA' WHEN 2 THEN 'UAE' END AS country FROM nation",
+    "x03_dates": "SELECT o_orderkey, CASE o_orderkey % 7 WHEN 4 THEN CAST(date_trunc('month', o_orderdate) AS DATE) WHEN 6 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS day FROM orders",
+    "x05_numbers": "SELECT o_orderkey, CASE WHEN o_orderkey % 6 IN (0, 1, 5) THEN floor(o_totalprice) WHEN o_orderkey % 6 = 2 THEN -floor(o_totalprice) END AS value FROM orders",
+    "x08_teu": "SELECT CASE WHEN q <> 0 THEN round(q / 20, 2) END AS teu, CASE WHEN q > 0 THEN 5e-2 END AS price, count(*) AS n FROM (SELECT floor(l_quantity) AS q FROM lineitem) GROUP BY 1, 2",
+    "x11_org_country": "SELECT n_nationkey, role, direction, CASE WHEN role = 'BUYER' THEN CASE WHEN direction = 'IMPORT' THEN upper(n_name) END WHEN n_nationkey % 2 = 0 OR direction = 'EXPORT' THEN upper(n_name) END AS country FROM nation, (VALUES ('BUYER'), ('SUPPLIER')) r(role), (VALUES ('EXPORT'), ('IMPORT')) d(direction)",
+    "x17_seconds": "SELECT user_id, epoch(date_trunc('second', max(ts)))::BIGINT - epoch(date_trunc('second', min(ts)))::BIGINT AS seconds FROM events GROUP BY 1",
+    "x29_mail_domains": "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'gmail.com' WHEN 1 THEN 'firm.example' WHEN 3 THEN c_custkey || '.ru' END AS domain, c_custkey % 4 = 0 AS free FROM customer",
+    "x10_stacked": "SELECT c_custkey, CASE c_custkey % 5 WHEN 2 THEN 'ACME ' || c_custkey || ' LTD' WHEN 4 THEN NULL ELSE 'ACME ' || c_custkey END AS normal FROM customer",
 }

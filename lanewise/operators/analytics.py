@@ -7,7 +7,10 @@ import may satisfy several exports; thresholds come from RISK; dates are relativ
 
 from __future__ import annotations
 
-from lanewise.plans.portable import AS_OF, view
+from pyspark.sql import functions as F
+
+from lanewise.operators.ranking import ranked
+from lanewise.plans.portable import AS_OF, BUILT, run, view
 
 RISK = {"min_sample": 5, "z_medium": 2, "z_high": 3, "z_critical": 5, "ghost_value": 500_000, "spike_months": 3, "spike_z": 2, "spike_pct": 200, "lane_rare": 3, "lane_common": 50}
 _V = "CAST(sum(value_usd) AS DOUBLE)"
@@ -15,12 +18,13 @@ _Q = "CAST(sum(qty_kg) AS DOUBLE)"
 _LEVEL = "CASE WHEN score >= 80 THEN 'CRITICAL' WHEN score >= 60 THEN 'HIGH' WHEN score >= 40 THEN 'MEDIUM' ELSE 'LOW' END"
 _CONFIDENCE = "CASE WHEN n < 10 THEN 2e-1 WHEN n < 50 THEN 5e-1 WHEN n < 200 THEN 8e-1 ELSE 95e-2 END"
 
-# Percentiles of whole ten-thousandths: interpolation between whole numbers is exact, so every engine gives the same.
+# Percentiles of whole ten-thousandths: interpolation between whole numbers is exact, so every engine gives the same, and a hot
+# corridor holds one count per distinct price, added up before the shuffle, instead of its rows.
 view("corridor", """
-SELECT hs_code_6, destination_country, year, month, direction, reporting_country, count(*) AS n, round(min(price_per_kg), 6) AS least,
-       percentile_cont(0.25) WITHIN GROUP (ORDER BY round(price_per_kg * 10000)) / 10000 AS p25, percentile_cont(0.5) WITHIN GROUP (ORDER BY round(price_per_kg * 10000)) / 10000 AS p50,
-       percentile_cont(0.75) WITHIN GROUP (ORDER BY round(price_per_kg * 10000)) / 10000 AS p75, round(max(price_per_kg), 6) AS most, max(shipment_date) AS last_day
-FROM ledger WHERE price_per_kg > 0 AND qty_kg > 0 GROUP BY hs_code_6, destination_country, year, month, direction, reporting_country""")
+SELECT hs_code_6, destination_country, year, month, direction, reporting_country, n, least, @at(q; 1) / 10000 AS p25, @at(q; 2) / 10000 AS p50, @at(q; 3) / 10000 AS p75, most, last_day
+FROM (SELECT hs_code_6, destination_country, year, month, direction, reporting_country, count(*) AS n, min(round(price_per_kg * 10000)) / 10000 AS least,
+             @quartiles[round(price_per_kg * 10000)] AS q, max(round(price_per_kg * 10000)) / 10000 AS most, max(shipment_date) AS last_day
+      FROM ledger WHERE price_per_kg > 0 AND qty_kg > 0 GROUP BY hs_code_6, destination_country, year, month, direction, reporting_country) x""", ["direction", "year"])
 
 view("priced", """
 SELECT l.transaction_id, l.buyer_id, l.supplier_id, l.hs_code_6, l.direction, l.value_usd, c.n, l.price_per_kg, c.p50,
@@ -30,16 +34,16 @@ FROM ledger l JOIN corridor c ON l.hs_code_6 = c.hs_code_6 AND l.destination_cou
 WHERE l.price_per_kg > 0 AND l.qty_kg > 0 AND c.n >= %(min_sample)d""" % RISK)
 
 view("invoice_risk", f"""
-SELECT transaction_id, buyer_id, hs_code_6, direction, n, z, reason_code, score, {_LEVEL} AS risk_level, {_CONFIDENCE} AS confidence
-FROM (SELECT transaction_id, buyer_id, hs_code_6, direction, n, z, CASE WHEN z < 0 THEN 'UNDER_INVOICE' ELSE 'OVER_INVOICE' END AS reason_code,
+SELECT transaction_id, buyer_id, hs_code_6, direction, value_usd, n, z, reason_code, score, {_LEVEL} AS risk_level, {_CONFIDENCE} AS confidence
+FROM (SELECT transaction_id, buyer_id, hs_code_6, direction, value_usd, n, z, CASE WHEN z < 0 THEN 'UNDER_INVOICE' ELSE 'OVER_INVOICE' END AS reason_code,
              CASE WHEN abs(z) > {RISK["z_critical"]} THEN 90 WHEN abs(z) > {RISK["z_high"]} THEN 70 ELSE 50 END AS score
-      FROM priced WHERE abs(z) > {RISK["z_medium"]}) x""")
+      FROM priced WHERE abs(z) > {RISK["z_medium"]}) x""", [])
 
 view("lane", f"""
 SELECT origin_country, destination_country, hs_code_6, count(*) AS n, {_V} AS value_usd, {_Q} AS qty_kg, round({_Q} / 20000, 2) AS teu,
        CASE WHEN sum(qty_kg) > 0 THEN round({_V} / NULLIF({_Q}, 0), 6) END AS mean_price, min(shipment_date) AS first_day, max(shipment_date) AS last_day,
        @list(reporting_country) AS reporting_countries
-FROM ledger GROUP BY origin_country, destination_country, hs_code_6""")
+FROM ledger GROUP BY origin_country, destination_country, hs_code_6""", [])
 
 view("buyer_total", f"""
 SELECT buyer_id, destination_country, min(shipment_date) AS first_day, max(shipment_date) AS last_day, count(*) AS n, {_V} AS value_usd, {_Q} AS qty_kg,
@@ -52,7 +56,7 @@ view("buyer_profile", """
 SELECT buyer_id, destination_country, first_day, last_day, n, value_usd, qty_kg, mean_price, codes, suppliers, growth_pct,
        CASE WHEN value_usd >= 1000000 THEN 'Whale' WHEN value_usd >= 100000 THEN CASE WHEN growth_pct > 50 THEN 'Growing' ELSE 'Mid' END
             WHEN value_usd >= 10000 THEN CASE WHEN growth_pct > 100 THEN 'Growing' ELSE 'Value' END WHEN n <= 2 THEN 'New' ELSE 'Small' END AS persona
-FROM (SELECT *, CASE WHEN current_usd > 0 AND previous_usd > 0 THEN round(100 * (current_usd - previous_usd) / previous_usd, 2) END AS growth_pct FROM buyer_total) x""")
+FROM (SELECT *, CASE WHEN current_usd > 0 AND previous_usd > 0 THEN round(100 * (current_usd - previous_usd) / previous_usd, 2) END AS growth_pct FROM buyer_total) x""", [])
 
 view("exporter_month", f"""
 SELECT supplier_id, origin_country, year, month, count(*) AS n FROM ledger
@@ -67,7 +71,7 @@ SELECT t.supplier_id, t.origin_country, t.n, t.value_usd, t.buyers, t.codes, t.f
 FROM (SELECT supplier_id, origin_country, count(*) AS n, {_V} AS value_usd, count(DISTINCT buyer_id) AS buyers, count(DISTINCT hs_code_6) AS codes, min(shipment_date) AS first_day, max(shipment_date) AS last_day
       FROM ledger WHERE direction = 'EXPORT' GROUP BY supplier_id, origin_country) t
 LEFT JOIN (SELECT supplier_id, origin_country, count(*) AS months, CAST(sum(n) AS DOUBLE) / count(*) AS mean_n, round(stddev_samp(CAST(n AS DOUBLE)), 8) AS spread FROM exporter_month GROUP BY supplier_id, origin_country) s
-  ON s.supplier_id = t.supplier_id AND s.origin_country = t.origin_country""")
+  ON s.supplier_id = t.supplier_id AND s.origin_country = t.origin_country""", [])
 
 # Equality on country pair and product, whoever the supplier: rivals are what the lead over the second guards against. An import
 # lies in one bucket of 31 days, and the 31 days that an export looks at lie in one or two, so every pair meets once.
@@ -87,7 +91,7 @@ FROM (SELECT e.transaction_id AS export_id, i.transaction_id AS import_id, @days
 view("mirror_match", """
 SELECT export_id, import_id, imported_buyer, score, lag_days FROM (
   SELECT *, row_number() OVER (PARTITION BY export_id ORDER BY score DESC, import_id) AS rk, lead(score) OVER (PARTITION BY export_id ORDER BY score DESC, import_id) AS second FROM mirror_candidate) x
-WHERE rk = 1 AND score >= 70 AND (second IS NULL OR score - second > 5)""")
+WHERE rk = 1 AND score >= 70 AND (second IS NULL OR score - second > 5)""", [])
 
 view("lane_risk", f"""
 SELECT origin_country, destination_country, hs_code_6, n, score, {_LEVEL} AS risk_level FROM (
@@ -110,13 +114,13 @@ WHERE z > {RISK["spike_z"]} OR pct > {RISK["spike_pct"]}""")
 view("buyer_risk", f"""
 SELECT buyer_id, score, {_LEVEL} AS risk_level, reason_code FROM (
   SELECT *, row_number() OVER (PARTITION BY buyer_id ORDER BY score DESC, reason_code) AS rk FROM (
-    SELECT buyer_id, score, 'GHOST_ENTITY' AS reason_code FROM ghost_risk UNION ALL SELECT buyer_id, score, 'VOLUME_SPIKE' FROM spike_risk) a) x WHERE rk = 1""")
+    SELECT buyer_id, score, 'GHOST_ENTITY' AS reason_code FROM ghost_risk UNION ALL SELECT buyer_id, score, 'VOLUME_SPIKE' FROM spike_risk) a) x WHERE rk = 1""", [])
 
 view("country_hs_month", f"""
 SELECT l.reporting_country, l.direction, l.hs_code_6, l.year, l.month, count(*) AS shipments, {_V} AS value_usd, {_Q} AS qty_kg, count(DISTINCT l.buyer_id) AS buyers, count(DISTINCT l.supplier_id) AS suppliers,
        count(r.transaction_id) AS risky_shipments, count(DISTINCT CASE WHEN r.transaction_id IS NOT NULL THEN l.buyer_id END) AS risky_buyers
 FROM ledger l LEFT JOIN (SELECT transaction_id FROM invoice_risk WHERE risk_level IN ('HIGH', 'CRITICAL')) r ON r.transaction_id = l.transaction_id
-GROUP BY l.reporting_country, l.direction, l.hs_code_6, l.year, l.month""")
+GROUP BY l.reporting_country, l.direction, l.hs_code_6, l.year, l.month""", [])
 
 view("country_hs_dashboard", """
 SELECT *, round(100 * value_usd / NULLIF(sum(value_usd) OVER (PARTITION BY reporting_country, direction, year, month), 0), 4) AS share_pct,
@@ -133,7 +137,7 @@ JOIN (SELECT buyer_id, count(*) AS shipments, {_V} AS value_usd, count(DISTINCT
 LEFT JOIN (SELECT buyer_id, persona, growth_pct FROM (SELECT buyer_id, persona, growth_pct, row_number() OVER (PARTITION BY buyer_id ORDER BY value_usd DESC, destination_country) AS rk FROM buyer_profile) y WHERE rk = 1) p ON p.buyer_id = a.buyer_id
 LEFT JOIN buyer_risk r ON r.buyer_id = a.buyer_id
 LEFT JOIN (SELECT buyer_id, hs_code_6 AS top_code FROM (SELECT buyer_id, hs_code_6, row_number() OVER (PARTITION BY buyer_id ORDER BY {_V} DESC, hs_code_6) AS rk FROM ledger GROUP BY buyer_id, hs_code_6) y WHERE rk = 1) t ON t.buyer_id = a.buyer_id
-LEFT JOIN (SELECT buyer_id, origin_country AS top_origin FROM (SELECT buyer_id, origin_country, row_number() OVER (PARTITION BY buyer_id ORDER BY {_V} DESC, origin_country) AS rk FROM ledger GROUP BY buyer_id, origin_country) y WHERE rk = 1) o ON o.buyer_id = a.buyer_id""")
+LEFT JOIN (SELECT buyer_id, origin_country AS top_origin FROM (SELECT buyer_id, origin_country, row_number() OVER (PARTITION BY buyer_id ORDER BY {_V} DESC, origin_country) AS rk FROM ledger GROUP BY buyer_id, origin_country) y WHERE rk = 1) o ON o.buyer_id = a.buyer_id""", [])
 
 # Target buyers of one product. The cohort is every buyer that passes the filters, so scores come before any limit.
 view("hunted", f"""
@@ -141,7 +145,11 @@ SELECT b.buyer_id, b.value_usd, b.n, b.months, b.years, round(100 * b.value_usd
 FROM (SELECT buyer_id, max(destination_country) AS destination_country, {_V} AS value_usd, count(*) AS n, count(DISTINCT year * 100 + month) AS months, count(DISTINCT year) AS years FROM ledger
       WHERE direction = 'IMPORT' AND hs_code_6 = 'PROMO' AND buyer_id IS NOT NULL AND shipment_date >= {AS_OF} - INTERVAL '720' DAY GROUP BY buyer_id) b
 JOIN (SELECT buyer_id, {_V} AS value_usd FROM ledger WHERE direction = 'IMPORT' AND buyer_id IS NOT NULL AND shipment_date >= {AS_OF} - INTERVAL '720' DAY GROUP BY buyer_id) a ON a.buyer_id = b.buyer_id
-LEFT JOIN buyer_risk r ON r.buyer_id = b.buyer_id WHERE b.value_usd >= 1000""")
+LEFT JOIN buyer_risk r ON r.buyer_id = b.buyer_id WHERE b.value_usd >= 1000""", [])
+
+# The place of each buyer in the cohort: Spark counts the smaller values without bringing all buyers into one task.
+view("hunt_rank", "SELECT buyer_id, rank() OVER (ORDER BY value_usd) - 1 AS below FROM hunted")
+BUILT["hunt_rank"] = lambda spark, sf_dir: ranked(run(spark, sf_dir, "SELECT buyer_id, value_usd FROM hunted"), "value_usd").select("buyer_id", (F.col("rank") - 1).alias("below"))
 
 # Quality is a known class (the persona of the largest profile), months and years; B3 to B5 are classes that no profile gives yet.
 view("hunt_score", """
@@ -150,8 +158,9 @@ SELECT buyer_id, destination_country, value_usd, n, share_pct, risk_level,
          + least(months, 12) + 2 * least(years, 4) + 15 * least(share_pct / 50, 1e0) + CASE risk_level WHEN 'LOW' THEN 15 WHEN 'MEDIUM' THEN 8 WHEN 'UNSCORED' THEN 6 WHEN 'HIGH' THEN 2 ELSE 0 END
          + CASE WHEN class <> 'Unknown' THEN 4 ELSE 0 END + CASE WHEN months >= 3 THEN 3 ELSE 0 END + CASE WHEN years >= 2 THEN 3 ELSE 0 END
          + CASE WHEN class IN ('B4', 'B5') THEN 3 WHEN class = 'B3' THEN 1 ELSE 0 END)), 1) AS score
-FROM (SELECT h.*, coalesce(p.persona, 'Unknown') AS class, rank() OVER (ORDER BY h.value_usd) - 1 AS below, count(*) OVER () AS cohort, max(h.value_usd) OVER () AS most
-      FROM hunted h LEFT JOIN (SELECT buyer_id, persona, row_number() OVER (PARTITION BY buyer_id ORDER BY value_usd DESC, destination_country) AS rk FROM buyer_profile) p ON p.buyer_id = h.buyer_id AND p.rk = 1) x""")
+FROM (SELECT h.*, coalesce(p.persona, 'Unknown') AS class, k.below, t.cohort, t.most
+      FROM hunted h JOIN hunt_rank k ON k.buyer_id = h.buyer_id CROSS JOIN (SELECT count(*) AS cohort, max(value_usd) AS most FROM hunted) t
+      LEFT JOIN (SELECT buyer_id, persona, row_number() OVER (PARTITION BY buyer_id ORDER BY value_usd DESC, destination_country) AS rk FROM buyer_profile) p ON p.buyer_id = h.buyer_id AND p.rk = 1) x""")
 
 _TOP = lambda what, who, where: f"SELECT {who}, {what}, value_usd, n, rk FROM (SELECT {who}, {what}, {_V} AS value_usd, count(*) AS n, row_number() OVER (PARTITION BY {who} ORDER BY {_V} DESC, {what}) AS rk FROM ledger WHERE {where} GROUP BY {who}, {what}) x WHERE rk <= 5"
 
@@ -188,7 +197,7 @@ PLANS: dict[str, str] = {
     "b02_buyer_hunter_full": "SELECT buyer_id, destination_country, value_usd, n, share_pct, risk_level FROM hunted ORDER BY value_usd DESC, buyer_id LIMIT 100",
     "b03_hs_dashboard_monthly": f"SELECT hs_code_6, year, month, count(*) AS shipments, {_V} AS value_usd, count(DISTINCT buyer_id) AS buyers FROM ledger WHERE hs_code_6 = 'PROMO' AND direction = 'IMPORT' GROUP BY 1, 2, 3 ORDER BY year DESC, month DESC LIMIT 24",
     "b04_hs_dashboard_countries": f"SELECT reporting_country, count(*) AS shipments, {_V} AS value_usd FROM ledger WHERE hs_code_6 = 'PROMO' GROUP BY 1 ORDER BY value_usd DESC LIMIT 20",
-    "b05_risk_top_shipments": "SELECT r.transaction_id, CAST(r.score AS BIGINT) AS score, l.hs_code_6, CAST(l.value_usd AS DOUBLE) AS value_usd FROM invoice_risk r JOIN ledger l ON l.transaction_id = r.transaction_id ORDER BY r.score DESC, l.value_usd DESC, r.transaction_id LIMIT 50",
+    "b05_risk_top_shipments": "SELECT transaction_id, CAST(score AS BIGINT) AS score, hs_code_6, CAST(value_usd AS DOUBLE) AS value_usd FROM invoice_risk ORDER BY 2 DESC, 4 DESC, 1 LIMIT 50",
     "b06_risk_top_buyers": f"SELECT r.buyer_id, CAST(max(r.score) AS BIGINT) AS score, count(DISTINCT l.hs_code_6) AS codes, {_V} AS value_usd FROM buyer_risk r LEFT JOIN ledger l ON l.buyer_id = r.buyer_id GROUP BY r.buyer_id ORDER BY score DESC, value_usd DESC, r.buyer_id LIMIT 50",
     "b07_buyer_360_lookup": "SELECT buyer_id, buyer_name, shipments, value_usd, persona, risk_level FROM buyer_360 WHERE buyer_id = (SELECT min(buyer_id) FROM ledger)",
     "b08_country_hs_summary": f"SELECT reporting_country, hs_code_6, count(*) AS shipments, count(DISTINCT buyer_id) AS buyers, count(DISTINCT supplier_id) AS suppliers, {_V} AS value_usd FROM ledger GROUP BY 1, 2",
@@ -230,3 +239,9 @@ PLANS: dict[str, str] = {
     "v14_source_totals": f"SELECT a.value_usd AS ledger_usd, b.value_usd AS source_usd, abs(a.value_usd - b.value_usd) <= 1e-2 AS equal FROM (SELECT {_V} AS value_usd FROM ledger WHERE direction = 'EXPORT') a CROSS JOIN (SELECT CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS value_usd FROM {{lineitem}}) b",
     "v15_layer_trace": "SELECT 'ledger' AS layer, count(*) AS n FROM ledger WHERE hs_code_6 = 'PROMO' UNION ALL SELECT 'corridor', count(*) FROM corridor WHERE hs_code_6 = 'PROMO' UNION ALL SELECT 'risk', count(*) FROM invoice_risk WHERE hs_code_6 = 'PROMO'",
 }
+
+#: Queries that compute a table in their own plan, from the tables before it, instead of reading it.
+ANEW: dict[str, list[str]] = {
+    "c01_buyer_profile": ["buyer_profile"], "c04_exporter_profile": ["exporter_profile"], "c07_price_corridor": ["corridor"], "c08_lane_stats": ["lane"], "c09_invoice_outliers": ["invoice_risk"], "c14_mirror_match": ["mirror_match"],
+    "c18_buyer_hunter": ["hunted"], "b02_buyer_hunter_full": ["hunted"], "c21_buyer_360": ["buyer_360"], "c22_country_hs_month": ["country_hs_month"], "c25_risk_with_names": ["buyer_risk"],
+}

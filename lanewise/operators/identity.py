@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lanewise.functions.scalars import organisation, similarity, trigrams
+from lanewise.functions.scalars import organisation, trigrams
+from lanewise.storage import written
 
 
 def candidates(shipments: DataFrame) -> DataFrame:
@@ -14,19 +15,38 @@ def candidates(shipments: DataFrame) -> DataFrame:
     return shipments.select(F.explode(each).alias("p")).select(organisation(F.col("p.raw")).alias("name"), F.upper(F.trim("p.country")).alias("country"), "p.role", "p.raw").filter("name is not null").distinct()
 
 
+def _probes(df: DataFrame, common: DataFrame, least: float, columns: list[str]) -> DataFrame:
+    """(columns, t): the rarest trigrams of each name, which the last column holds, as many as leave less than its share `least` behind.
+
+    Names with a Jaccard similarity of `least` share least * size trigrams of either, so not all of these can lie among the
+    trigrams left out. There are at most 37^3 trigrams of letters, digits and blanks, so their counts are a bounded table.
+    """
+    each = df.select(*columns, F.explode(columns[-1]).alias("t")).join(F.broadcast(common), "t")
+    sorted_ = each.groupBy(*columns).agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("own"))
+    kept = F.size("own") - F.ceil(F.lit(least) * F.size("own") - 1e-9).cast("int") + 1
+    return sorted_.select(*columns, F.explode(F.slice("own", F.lit(1), kept)).alias("o")).select(*columns, "o.t")
+
+
 def resolve(found: DataFrame, stored: DataFrame, least: float = 0.8) -> DataFrame:
     """One row per (name, country) of found: org_id, type (BUYER, SUPPLIER or MIXED), match (EXACT, FUZZY, NEW) and variants.
 
     stored has (org_id, name, country, type). The id of a new organisation is a hash of its key, so a run can be repeated.
-    The similarity join is on country and a shared trigram; ties go to the smaller id.
+    The similarity join is on country and a rare trigram: two names that share enough trigrams share one of the rarest of
+    each (`_probes`), so a common trigram pairs nobody; ties go to the smaller id.
     """
+    spark = found.sparkSession  # names are cleaned once: both tables are read several times below
+    stored = written(spark, stored.select("org_id", "name", "country", "type"), "organisations")
     keys = found.groupBy("name", "country").agg(F.array_sort(F.collect_set("role")).alias("roles"), F.array_sort(F.collect_set("raw")).alias("variants"))
-    exact = keys.join(stored.select("org_id", "name", "country", "type"), ["name", "country"], "left")
+    exact = written(spark, keys.join(stored, ["name", "country"], "left"), "names")
     open_ = exact.filter("org_id is null").select("name", "country")
-    left = open_.select("name", "country", F.explode(trigrams(F.col("name"))).alias("t"))
-    right = stored.select(F.col("org_id").alias("other"), F.col("name").alias("other_name"), "country", F.explode(trigrams(F.col("name"))).alias("t"))
-    pairs = left.join(right, ["country", "t"]).select("name", "country", "other", "other_name").distinct()
-    scored = pairs.withColumn("score", similarity(F.col("name"), F.col("other_name"))).filter(F.col("score") >= least)
+    mine = open_.withColumn("grams", trigrams(F.col("name"))).withColumn("size", F.size("grams"))
+    theirs = stored.select(F.col("org_id").alias("other"), "country", trigrams(F.col("name")).alias("other_grams")).withColumn("other_size", F.size("other_grams"))
+    common = mine.select("grams").unionByName(theirs.select(F.col("other_grams").alias("grams"))).select(F.explode("grams").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+    left, right = _probes(mine, common, least, ["name", "country", "size", "grams"]), _probes(theirs, common, least, ["other", "country", "other_size", "other_grams"])
+    near = (F.col("other_size") >= least * F.col("size")) & (F.col("size") >= least * F.col("other_size"))
+    pairs = left.join(right, ["country", "t"]).filter(near).drop("t").distinct()
+    shared = F.size(F.array_intersect("grams", "other_grams"))
+    scored = pairs.withColumn("score", shared / (F.col("size") + F.col("other_size") - shared)).filter(F.col("score") >= least)
     best = scored.withColumn("rk", F.row_number().over(Window.partitionBy("name", "country").orderBy(F.desc("score"), "other"))).filter("rk = 1").select("name", "country", "other")
     joined = exact.join(best, ["name", "country"], "left").join(stored.select(F.col("org_id").alias("other"), F.col("type").alias("other_type")), "other", "left")
     kinds = F.array_distinct(F.concat("roles", F.when(F.coalesce("type", "other_type") == "MIXED", F.array(F.lit("BUYER"), F.lit("SUPPLIER"))).when(F.coalesce("type", "other_type").isNotNull(), F.array(F.coalesce("type", "other_type"))).otherwise(F.array().cast("array<string>"))))

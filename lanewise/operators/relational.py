@@ -49,7 +49,7 @@ PLANS: dict[str, str] = {
     "a06_conditional_distinct": "SELECT hs_code_6, count(DISTINCT CASE WHEN value_usd > 50000 THEN buyer_id END) AS large_buyers FROM ledger GROUP BY 1",
     "a07_indicator_sums": "SELECT year, CAST(sum(CASE WHEN buyer_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing, CAST(sum(CASE WHEN container_id IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS contained FROM (SELECT year, buyer_id, container_id FROM ledger) x GROUP BY year",
     "a08_guarded_ratio": f"SELECT supplier_id, CASE WHEN sum(qty_kg) > 0 THEN round({_V} / NULLIF(CAST(sum(qty_kg) AS DOUBLE), 0), 6) END AS price FROM ledger GROUP BY 1",
-    "a09_percentiles": "SELECT hs_code_6, percentile_cont(0.25) WITHIN GROUP (ORDER BY round(price_per_kg * 10000)) / 10000 AS p25, percentile_cont(0.5) WITHIN GROUP (ORDER BY round(price_per_kg * 10000)) / 10000 AS p50, percentile_cont(0.75) WITHIN GROUP (ORDER BY round(price_per_kg * 10000)) / 10000 AS p75 FROM ledger GROUP BY 1",
+    "a09_percentiles": "SELECT hs_code_6, @at(q; 1) / 10000 AS p25, @at(q; 2) / 10000 AS p50, @at(q; 3) / 10000 AS p75 FROM (SELECT hs_code_6, @quartiles[round(price_per_kg * 10000)] AS q FROM ledger GROUP BY 1) x",
     "a10_stddev": "SELECT supplier_id, round(stddev_samp(CAST(n AS DOUBLE)), 6) AS spread FROM (SELECT supplier_id, year, month, count(*) AS n FROM ledger GROUP BY 1, 2, 3) x GROUP BY 1",
     "a11_two_levels": "SELECT supplier_id, count(*) AS months, max(n) AS most, min(n) AS least FROM (SELECT supplier_id, year, month, count(*) AS n FROM ledger GROUP BY 1, 2, 3) x GROUP BY 1",
     "a12_having": "SELECT buyer_id, count(*) AS n FROM ledger WHERE buyer_id IS NOT NULL GROUP BY buyer_id HAVING count(*) >= 60",
@@ -67,11 +67,9 @@ PLANS: dict[str, str] = {
     "w02_share_of_partition": f"SELECT buyer_id, hs_code_6, round(100 * {_V} / CAST(sum(sum(value_usd)) OVER (PARTITION BY buyer_id) AS DOUBLE), 4) AS share_pct FROM ledger WHERE buyer_id IS NOT NULL GROUP BY buyer_id, hs_code_6",
     "w03_share_of_all": "SELECT hs_code_6, round(100 * CAST(count(*) AS DOUBLE) / CAST(sum(count(*)) OVER () AS DOUBLE), 4) AS pct FROM ledger GROUP BY hs_code_6",
     "w04_top_rows": "SELECT reporting_country, transaction_id, rk FROM (SELECT reporting_country, transaction_id, row_number() OVER (PARTITION BY reporting_country ORDER BY value_usd DESC, transaction_id) AS rk FROM ledger) x WHERE rk <= 3",
-    "w05_global_rank": f"SELECT supplier_id, rank() OVER (ORDER BY value_usd DESC) AS rk FROM (SELECT supplier_id, {_V} AS value_usd FROM ledger GROUP BY 1) x",
     "w06_latest_per_key": "SELECT buyer_id, transaction_id, shipment_date FROM (SELECT buyer_id, transaction_id, shipment_date, row_number() OVER (PARTITION BY buyer_id ORDER BY shipment_date DESC, transaction_id) AS rk FROM ledger WHERE buyer_id IS NOT NULL) x WHERE rk = 1",
     "w07_top_origin_per_month": f"SELECT buyer_id, year, month, origin_country FROM (SELECT buyer_id, year, month, origin_country, row_number() OVER (PARTITION BY buyer_id, year, month ORDER BY {_V} DESC, origin_country) AS rk FROM ledger WHERE buyer_id IS NOT NULL GROUP BY 1, 2, 3, 4) x WHERE rk = 1",
-    "w08_share_below": f"SELECT buyer_id, round(CAST(rank() OVER (ORDER BY value_usd) - 1 AS DOUBLE) / count(*) OVER (), 6) AS below FROM (SELECT buyer_id, {_V} AS value_usd FROM ledger WHERE buyer_id IS NOT NULL GROUP BY 1) x",
-    "w09_cohort_max": f"SELECT buyer_id, round(value_usd / max(value_usd) OVER (), 6) AS scaled, count(*) OVER () AS cohort FROM (SELECT buyer_id, {_V} AS value_usd FROM ledger WHERE buyer_id IS NOT NULL GROUP BY 1) x",
+    "w09_cohort_max": f"SELECT buyer_id, round(value_usd / most, 6) AS scaled, cohort FROM (SELECT buyer_id, {_V} AS value_usd FROM ledger WHERE buyer_id IS NOT NULL GROUP BY 1) x CROSS JOIN (SELECT max(value_usd) AS most, count(*) AS cohort FROM (SELECT buyer_id, {_V} AS value_usd FROM ledger WHERE buyer_id IS NOT NULL GROUP BY 1) y) t",
     "w10_best_and_second": "SELECT export_id, best, second FROM (SELECT export_id, score AS best, lead(score) OVER (PARTITION BY export_id ORDER BY score DESC, import_id) AS second, row_number() OVER (PARTITION BY export_id ORDER BY score DESC, import_id) AS rk FROM mirror_candidate) x WHERE rk = 1",
     # order, limits and sets
     "o02_nulls_last": "SELECT buyer_id, transaction_id FROM ledger ORDER BY buyer_id DESC NULLS LAST, transaction_id",

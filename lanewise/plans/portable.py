@@ -1,17 +1,23 @@
 """Plans written once in SQL that Spark and the oracle both read.
 
-A plan names its tables in braces and may use the plans of `VIEWS` by name: the views that it uses become its WITH clause.
-Three macros cover what the dialects spell differently: @days(a; b) is a - b in days, @list(x) a comma list of sorted
-values, and @tables are plain names.
+A plan names its tables in braces and may use the plans of `VIEWS` by name. For the oracle the views that a plan uses become
+its WITH clause. For Spark the views of `STORED` are tables: each is built once for a session and a source folder, written
+as Parquet to the shared folder, and read by every later plan, as the ledger, profiles and summaries of a warehouse are.
+`refresh` builds them anew. Macros cover what the dialects spell differently: @days(a; b) is a - b in days, @list(x) a comma
+list of sorted values, @directions a row for each direction beside the row before it, @quartiles[x] the three quartiles in one pass and @at(q; i)
+one of them.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lanewise.storage import written
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 AS_OF = "DATE '2001-07-01'"
 
@@ -31,21 +37,28 @@ SELECT concat(direction, '-', CAST(l_orderkey AS STRING), '-', CAST(l_partkey AS
        CAST(l_quantity * (CASE WHEN direction = 'EXPORT' THEN 1e0 ELSE 1e0 + ((l_linenumber % 3) - 1) * 2e-2 END) AS DECIMAL(18,4)) AS qty_kg,
        CAST(l_extendedprice AS DECIMAL(18,2)) AS value_usd, CAST(l_extendedprice AS DOUBLE) / NULLIF(l_quantity, 0) AS price_per_kg,
        CASE WHEN l_linestatus = 'F' THEN concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) END AS container_id, p_brand AS vessel_name
-FROM (SELECT base.*, direction, CASE WHEN direction = 'EXPORT' THEN ship_day ELSE ship_day + (10 + 5 * l_linenumber) END AS shipment_date
-      FROM base, (SELECT 'EXPORT' AS direction UNION ALL SELECT 'IMPORT' AS direction) d) x
+FROM (SELECT base.*, direction, CASE WHEN direction = 'EXPORT' THEN ship_day ELSE ship_day + (10 + 5 * l_linenumber) END AS shipment_date FROM base @directions) x
 """
 
-#: name -> (plan, views it uses)
+#: name -> plan
 VIEWS: dict[str, str] = {"base": _BASE, "ledger": _LEDGER}
 _ORDER = ["base", "ledger"]
+#: Views that are tables for Spark, and the columns that these are partitioned by.
+STORED: dict[str, list[str]] = {"ledger": ["direction", "year"]}
+#: Views that a function builds for Spark, where their SQL would put all rows into one task.
+BUILT: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_TABLES: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def view(name: str, sql: str) -> None:
+def view(name: str, sql: str, stored: list[str] | None = None) -> None:
     VIEWS[name] = sql
     _ORDER.append(name)
+    if stored is not None:
+        STORED[name] = stored
 
 
-def _with(sql: str, kind: str = "AS") -> str:
+def _used(sql: str, ends: Iterable[str] = ()) -> list[str]:
+    """Views that a plan uses, those behind others too, in the order of their definition; no view is looked for behind `ends`."""
     used: set[str] = set()
     todo = [sql]
     while todo:
@@ -53,33 +66,67 @@ def _with(sql: str, kind: str = "AS") -> str:
         for name in VIEWS:
             if name not in used and re.search(rf"\b{name}\b", text):
                 used.add(name)
-                todo.append(VIEWS[name])
-    parts = ", ".join(f"{n} {kind} ({VIEWS[n]})" for n in _ORDER if n in used)
-    return (f"WITH {parts} " if parts else "") + sql
+                if name not in ends:
+                    todo.append(VIEWS[name])
+    return [n for n in _ORDER if n in used]
 
 
-def spark_sql(sql: str) -> str:
-    text = re.sub(r"@days\((.+?); (.+?)\)", r"datediff(\1, \2)", _with(sql))
+def _spark_text(sql: str) -> str:
+    text = re.sub(r"@days\((.+?); (.+?)\)", r"datediff(\1, \2)", sql).replace("@directions", "LATERAL VIEW explode(array('EXPORT', 'IMPORT')) d AS direction")
+    text = re.sub(r"@quartiles\[(.+?)\]", r"percentile(\1, array(0.25, 0.5, 0.75))", text)
+    text = re.sub(r"@at\((\w+); (\d)\)", r"element_at(\1, \2)", text)
     return re.sub(r"@list\((.+?)\)", r"array_join(array_sort(collect_set(\1)), ',')", text)
 
 
 def oracle_sql(sql: str) -> str:
-    text = re.sub(r"@days\((.+?); (.+?)\)", r"date_diff('day', \2, \1)", _with(sql, "AS NOT MATERIALIZED"))
+    parts = ", ".join(f"{n} AS NOT MATERIALIZED ({VIEWS[n]})" for n in _used(sql))
+    text = re.sub(r"@days\((.+?); (.+?)\)", r"date_diff('day', \2, \1)", (f"WITH {parts} " if parts else "") + sql)
+    text = text.replace("@directions", ", (SELECT 'EXPORT' AS direction UNION ALL SELECT 'IMPORT' AS direction) d")
+    text = re.sub(r"@quartiles\[(.+?)\]", r"quantile_cont(\1, [0.25, 0.5, 0.75])", text)
+    text = re.sub(r"@at\((\w+); (\d)\)", r"list_extract(\1, \2)", text)
     text = re.sub(r"@list\((.+?)\)", r"coalesce(string_agg(DISTINCT \1, ',' ORDER BY \1), '')", text)
     return re.sub(r"\{(\w+)\}", r"\1", text)
 
 
-def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    text = spark_sql(sql)
-    used = set(re.findall(r"\{(\w+)\}", text))
-    out = spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+def run(spark: SparkSession, sf_dir: str, sql: str, anew: Iterable[str] = ()) -> DataFrame:
+    """The plan over the tables of sf_dir; views named by `anew` are computed in the plan itself, not read as tables."""
+    tables = {n for n in [*STORED, *BUILT] if n not in anew}
+    used = _used(sql, tables)
+    inputs = {f"{n}__": stored(spark, sf_dir, n) if n in STORED else BUILT[n](spark, sf_dir) for n in used if n in tables}
+    parts = ", ".join(f"{n} AS (SELECT * FROM {{{n}__}})" if n in tables else f"{n} AS ({VIEWS[n]})" for n in used)
+    text = _spark_text((f"WITH {parts} " if parts else "") + sql)
+    inputs |= {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in set(re.findall(r"\{(\w+)\}", text)) - set(inputs)}
+    out = spark.sql(text, **inputs)
     return out.select(*[F.col(f"`{c}`").cast("long").alias(c) if kind == "int" else F.col(f"`{c}`") for c, kind in out.dtypes])
 
 
+def _key(spark: SparkSession, sf_dir: str, name: str) -> tuple[str, str, str]:
+    return spark.sparkContext.applicationId, sf_dir.rstrip("/"), name
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A view as a table, built where this session has not done so."""
+    key = _key(spark, sf_dir, name)
+    if key not in _TABLES:
+        df = BUILT[name](spark, sf_dir) if name in BUILT else run(spark, sf_dir, f"SELECT * FROM {name}", [name])
+        by = [c for c in STORED[name] if c in df.columns]
+        if by:  # a partition of the table is written by as many tasks as its size asks for, however skewed
+            df = df.hint("rebalance", *by)
+        _TABLES[key] = written(spark, df, name, "warehouse", by)
+    return _TABLES[key]
+
+
+def refresh(spark: SparkSession, sf_dir: str, names: Iterable[str] | None = None) -> list[str]:
+    """Forget tables, and those that are built from them, so that the next plan builds them anew beside the old ones: who reads an old one meanwhile isn't disturbed. Returns the names."""
+    gone = list(STORED) if names is None else list(names)
+    gone = [n for n in STORED if n in gone or any(g in _used(VIEWS[n]) for g in gone)]
+    return [n for n in gone if _TABLES.pop(_key(spark, sf_dir, n), None) is not None]
+
+
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shipments of both directions: the driver's tables seen as a trade ledger."""
     return run(spark, sf_dir, "SELECT * FROM ledger")
 
 
-def queries(plans: dict[str, str]) -> dict:
-    return {name: (lambda spark, sf_dir, sql=sql: run(spark, sf_dir, sql)) for name, sql in plans.items()}
+def queries(plans: dict[str, str], anew: dict[str, list[str]] | None = None) -> dict:
+    return {name: (lambda spark, sf_dir, sql=sql, own=tuple((anew or {}).get(name, ())): run(spark, sf_dir, sql, own)) for name, sql in plans.items()}

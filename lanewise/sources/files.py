@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import csv
+from collections.abc import Iterator
+from urllib.parse import unquote
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lanewise.functions import scalars as X
@@ -23,23 +28,57 @@ def not_ingested(files: DataFrame, registry: DataFrame) -> DataFrame:
     return first.join(registry.filter("status = 'INGESTED'").select("checksum"), "checksum", "left_anti")
 
 
-def read_csv(spark: SparkSession, paths: str | list[str], header_row: int = 1) -> DataFrame:
-    """Rows as text, with upper-case names; header_row counts from 1 and lines above it are dropped."""
-    if header_row == 1:
-        df = spark.read.option("header", "true").csv(paths)
-    else:
-        lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("at"))
-        rows = lines.withColumn("line", F.row_number().over(_per_file())).filter(F.col("line") >= header_row)
-        head = rows.filter(F.col("line") == header_row).orderBy("f").first()
-        names = (head["value"] if head else "").split(",")
-        df = rows.filter((F.col("line") > header_row) & (F.col("value") != "")).select(F.from_csv("value", F.lit(", ".join(f"c{i} string" for i in range(len(names))))).alias("r")).select("r.*").toDF(*names)
-    return df.toDF(*[c.strip().upper().replace(" ", "_") for c in df.columns])
+def numbered_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, line, fields): every line of text files that isn't blank, its number from 1 and its comma-separated fields.
+
+    A task numbers the lines of a split; the splits of a file are then added up, a row per split. Fields hold no line breaks.
+    """
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: dict[tuple[str, int], int] = {}
+        for b in batches:
+            # The names of files as their listing gives them, not as URLs.
+            paths = {p: unquote(p).replace("file:///", "file:/", 1) for p in b.column(0).unique().to_pylist()}
+            where, rows = [(paths[p], k) for p, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist())], b.column(2).to_pylist()
+            own = []
+            for key in where:
+                at[key] = at.get(key, 0) + 1
+                own.append(at[key])
+            fields = [next(csv.reader([r]), []) for r in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in where], pa.string()), b.column(1), pa.array(own, pa.int64()), pa.array(fields, pa.list_(pa.string()))], names=["path", "block", "own", "fields"])
 
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value")
+    own = lines.mapInArrow(number, "path string, block long, own long, fields array<string>")
+    blocks = own.groupBy("path", "block").agg(F.max("own").alias("n"))
+    before = blocks.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    return own.join(before, ["path", "block"]).select("path", (F.col("own") + F.col("before")).alias("line"), "fields").filter("size(fields) > 0")
 
-def _per_file():
-    from pyspark.sql import Window
 
-    return Window.partitionBy("f").orderBy("at")
+def raw_lines(spark: SparkSession, paths: list[str], header_row: int = 1) -> DataFrame:
+    """(path, row_number, raw_data) of CSV files, each with a header of its own at header_row, counted from 1.
+
+    Names are upper-case with underscores; of equal names the first counts. Empty fields, those beyond the header and NaN are left out.
+    """
+    lines = numbered_lines(spark, paths)
+    names = F.transform("fields", lambda c: F.upper(F.replace(F.trim(c), F.lit(" "), F.lit("_"))))
+    heads = lines.filter(F.col("line") == header_row).select("path", names.alias("names"))
+    rows = lines.filter(F.col("line") > header_row).join(heads, "path")
+    pairs = F.filter(F.arrays_zip(F.col("names").alias("k"), F.slice("fields", F.lit(1), F.size("names")).alias("v")), lambda p: p["v"].isNotNull() & (F.trim(p["v"]) != "") & (F.lower(p["v"]) != "nan"))
+    keyed = F.aggregate(pairs, F.create_map().cast("map<string,string>"), lambda m, p: F.when(F.map_contains_key(m, p["k"]), m).otherwise(F.map_concat(m, F.create_map(p["k"], p["v"]))))
+    return rows.select("path", (F.col("line") - header_row).alias("row_number"), keyed.alias("raw_data"))
+
+
+def read_csv(spark: SparkSession, paths: str | list[str], header_row: int = 1) -> DataFrame:
+    """Rows as text, with upper-case names; header_row counts from 1 and lines above it are dropped. All files have one header."""
+    if header_row == 1:
+        df = spark.read.option("header", "true").csv(paths)
+        return df.toDF(*[c.strip().upper().replace(" ", "_") for c in df.columns])
+    lines = numbered_lines(spark, [paths] if isinstance(paths, str) else paths)
+    heads = lines.filter(F.col("line") == header_row).select("fields").distinct().limit(2).collect()
+    if len(heads) != 1:
+        raise ValueError(f"the files have {'no header' if not heads else 'different headers'} at line {header_row}")
+    names = [c.strip().upper().replace(" ", "_") for c in heads[0]["fields"]]
+    return lines.filter(F.col("line") > header_row).select(*[F.nullif(F.get("fields", F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(names)])
 
 
 def raw_rows(df: DataFrame) -> DataFrame:
