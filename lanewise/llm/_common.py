@@ -1,64 +1,59 @@
-"""Shared helpers: reading tables, and tables written to the folder that the whole cluster shares."""
+"""Shared helpers: reading tables, scratch tables, and the memory of Python workers."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from lanewise import storage
+from lanewise.storage import written
+
+__all__ = ["SPACE", "drop_scratch", "lean", "pipeline_folder", "shuffle_partitions", "sliced", "table", "written"]
+
 #: Whitespace of the word definition `[^\x20\x09-\x0D]+`, as a Java character class body.
 SPACE = r"\x20\x09-\x0D"
-_FOLDERS: dict[str, str] = {}
+#: Rows that a task works on at once where each becomes several arrays.
+ROWS = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _folder(spark: SparkSession, kind: str) -> str:
-    key = f"{spark.sparkContext.applicationId}/{kind}"
-    if key not in _FOLDERS:
-        base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lanewise-")
-        _FOLDERS[key] = folder = f"{base.rstrip('/')}/lanewise-{kind}-{uuid.uuid4().hex}"
-        atexit.register(_delete, spark, folder)
-    return _FOLDERS[key]
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A folder for scratch tables in spark.checkpoint.dir; only where that is unset (tests, local mode) a temporary one."""
-    return _folder(spark, "scratch")
-
-
 def pipeline_folder(spark: SparkSession) -> str:
-    """As shared_dir, for the tables between stages, which outlive scratch tables."""
-    return _folder(spark, "pipeline")
+    """A folder for the tables between stages, which outlive scratch tables."""
+    return storage.folder(spark, "pipeline")
 
 
 def drop_scratch(spark: SparkSession) -> None:
-    """Delete the tables written so far. Only for callers whose earlier results are stored elsewhere."""
-    folder = _FOLDERS.pop(f"{spark.sparkContext.applicationId}/scratch", None)
-    if folder:
-        _delete(spark, folder)
+    """Delete the scratch tables written so far. Only for callers whose earlier results are stored elsewhere."""
+    storage.drop(spark, "scratch")
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
-    with contextlib.suppress(Exception):  # the session may have ended before the interpreter
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def written(spark: SparkSession, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    out = df.write
-    if partition_by:
-        out = out.partitionBy(*partition_by)
-    out.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches of at most `rows` rows, of the same rows in the same order."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function of a task's batches that gives freed memory back when the task ends: workers are used again by later stages."""
+
+    @functools.wraps(run)
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return own

@@ -62,6 +62,7 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, tuple[bool, bool, bool, bool]]] = [("", (False, False, False, False))]
     text: list[str] = []
     linked: list[str] = []
+    opened: dict[str, int] = {}  # containers on the stack by name, so that an end tag without a start costs one look
     tag, links, at, lower = "", 0, 0, None
 
     def flush() -> None:
@@ -115,9 +116,11 @@ def blocks(page: str) -> list[Block]:
                 stack.pop()
             if not closing:
                 stack.append((name, _marks(name, attributes, stack[-1][1])))
-            elif any(n == name for n, _ in stack[1:]):
-                while stack.pop()[0] != name:
-                    pass
+                opened[name] = opened.get(name, 0) + 1
+            elif opened.get(name):
+                while (gone := stack.pop()[0]) != name:
+                    opened[gone] = opened.get(gone, 0) - 1
+                opened[name] -= 1
         else:
             if stack[-1][0].startswith("/"):  # the marks of a paragraph or item end with it
                 stack.pop()
@@ -144,7 +147,7 @@ def features(found: list[Block]) -> np.ndarray:
 Tree = list[tuple[int, float, int, int]]  # (feature, cut, node if at most, node if over); a leaf is (-1, share of content, 0, 0)
 
 
-def fit_tree(x: np.ndarray, y: np.ndarray, depth: int = 7, leaf: int = 2) -> Tree:
+def fit_tree(x: np.ndarray, y: np.ndarray, depth: int = 9, leaf: int = 3) -> Tree:
     """Binary classification tree by Gini impurity."""
     nodes: Tree = []
 
@@ -188,7 +191,7 @@ def is_content(tree: Tree, x: np.ndarray) -> np.ndarray:
 _MARK = "⁠"  # begins the text of labelled content
 
 
-def training_pages(seed: int = 11, pages: int = 160) -> list[str]:
+def training_pages(seed: int = 11, pages: int = 320) -> list[str]:
     """Small pages in several layouts; the text of each content block begins with a mark."""
     rng = np.random.default_rng(seed)
     pick = lambda *a: a[int(rng.integers(len(a)))]
@@ -217,8 +220,22 @@ def training_pages(seed: int = 11, pages: int = 160) -> list[str]:
             body.append(f"<h2>{_MARK}{text(2, 6)}</h2>" if kind < 0.12 else f"<ul><li>{_MARK}{text(4, 12)}</li><li>{_MARK}{text(4, 12)}</li></ul>" if kind < 0.2 else f"<blockquote>{_MARK}{text(8, 30)}.</blockquote>" if kind < 0.26 else f"<p>{_MARK}{text(*words)}{linked}{pick('.', '.', '.', '', ',')}</p>")
         return "".join(body)
 
+    def plain() -> str:
+        """Neutral names and no article: only words and links, a block's own and its neighbours', tell content."""
+        box = lambda inside: f"<div class='c{int(rng.integers(100))}'>{inside}</div>"
+        ring = lambda: pick(links(1, ""), links(3, " | "), links(2, " ") + f" {text(1, 2)}")
+        aside = lambda: box("".join(f"<p>{pick(ring(), ring(), text(1, 9) + pick('', '.'))}</p>" if i % 2 else f"<p>{ring()}</p>" for i in range(int(rng.integers(3, 8)))))
+        body = "".join(f"<p>{_MARK}{text(*pick((2, 9), (18, 90), (18, 90)))}{pick('.', '.', '', '!')}</p>" if i % 2 else f"<p>{_MARK}{text(18, 90)}{f' {links(1, chr(32))} {text(4, 9)}' if rng.random() < 0.2 else ''}.</p>" for i in range(int(rng.integers(3, 9))))
+        return "".join(aside() for _ in range(int(rng.integers(1, 3)))) + box(body) + "".join(aside() for _ in range(int(rng.integers(1, 3))))
+
     out = []
-    for _ in range(pages):
+    for k in range(pages):
+        if k % 20 == 0:  # a page of a few words has no article
+            out.append(pick(text(1, 3), f"<p>{text(1, 4)}</p>", f"<div>{links(1, '')}</div>"))
+            continue
+        if rng.random() < 0.4:
+            out.append(f"<html><head><title>{text(2, 6)}</title></head><body>{plain()}</body></html>")
+            continue
         inner = lambda: noise(pick("ad", "notice", "side", "comments")) if rng.random() < 0.25 else ""
         layout = rng.random()
         if layout < 0.6:

@@ -1,9 +1,9 @@
 """SentencePiece encoding as relations only: the lattice of pieces in Spark rows, without Python.
 
 Distinct words are exploded into substrings of bounded length and joined to the piece table, whose size the model fixes. Edges
-are grouped by word, in the partitions that hold the words already, and folded with the higher-order function aggregate: its
-state is the set of boundaries between characters, as the bits of a long, and each step joins the two neighbours of best
-rank, leftmost first. Words of more than BITS characters, which a long cannot hold, are folded by PieceTable.paths.
+are grouped by word, in the partitions that hold the words already, and folded with the higher-order function aggregate. For a unigram model
+its state is the best score and the last edge of the paths to each place (Viterbi). For a byte-pair model it is the set of
+boundaries between characters, as the bits of a long, and each step joins the two neighbours of best rank, leftmost first. Words of more than BITS characters, which a long cannot hold, are folded by PieceTable.paths.
 The paths go back to the words of each text: frequent words, of which there are fewer than FREQUENT by their definition,
 by a broadcast join, all others by a shuffled one in which no word of up to BITS characters has many rows.
 """
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanewise.llm._common import written
-from lanewise.llm.pieces import SPACE_MARK, default_model, encoder
+from lanewise.llm.pieces import SPACE_MARK, UNIGRAM, default_model, encoder
 
 #: Characters whose boundaries fit a long.
 BITS = 60
@@ -47,6 +47,26 @@ def _boundaries(edges: Column, n: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), F.struct(every.alias("mask"), best(every).alias("take")), step)["mask"]
 
 
+def _viterbi(edges: Column, n: Column, unknown: float) -> Column:
+    """The bits of the boundaries on the path of the greatest sum of scores; a character without an edge scores `unknown`."""
+    kind = "array<struct<score:double,size:int>>"
+
+    def step(done: Column, at: Column) -> Column:
+        into = F.filter(edges, lambda e: e["start"] + e["size"] == at)
+        ways = F.transform(into, lambda e: F.struct((F.get(done, e["start"])["score"] - F.coalesce(e["rank"], F.lit(-unknown))).alias("score"), e["size"].alias("size")))
+        return F.array_append(done, F.array_max(ways))
+
+    paths = F.aggregate(F.sequence(F.lit(1), n), F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("size"))).cast(kind), step)
+    one = F.lit(1).cast("long")
+
+    def back(s: Column, _: Column) -> Column:
+        at = s["at"] - F.get(s["paths"], s["at"])["size"]
+        return F.when(s["at"] == 0, s).otherwise(F.struct(s["paths"].alias("paths"), at.alias("at"), s["mask"].bitwiseOR(F.call_function("shiftleft", one, at)).alias("mask")))
+
+    begin = F.struct(paths.alias("paths"), n.alias("at"), F.call_function("shiftleft", one, n).alias("mask"))
+    return F.aggregate(F.sequence(F.lit(1), n), begin, back)["mask"]
+
+
 def word_paths(spark: SparkSession, words: DataFrame, model: str) -> DataFrame:
     """words with a column ids of hex digits: the packed ids of column word, whose values are distinct."""
     pieces = encoder(model).table
@@ -58,7 +78,8 @@ def word_paths(spark: SparkSession, words: DataFrame, model: str) -> DataFrame:
     edges = cut.join(known, "piece", "left").filter((F.col("size") == 1) | F.col("id").isNotNull())
     bits = edges.select("word", "n", "rank", "start", "size", "id", F.expr("shiftleft(shiftleft(1L, size - 1) - 1, start + 1)").alias("inside"), F.expr("shiftleft(1L, start) | shiftleft(1L, start + size)").alias("ends"))
     grouped = bits.groupBy("word").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("rank", "start", "size", "id", "inside", "ends"))).alias("edges"))
-    folded = grouped.withColumn("mask", _boundaries(F.filter("edges", lambda e: e["size"] > 1), F.col("n")))
+    fold = _viterbi(F.col("edges"), F.col("n"), pieces.unknown) if pieces.kind == UNIGRAM else _boundaries(F.filter("edges", lambda e: e["size"] > 1), F.col("n"))
+    folded = grouped.withColumn("mask", fold)
     byte_ids = F.array(*[F.lit(i) for i in pieces.byte_ids])
 
     def own(start: Column) -> Column:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lanewise.llm._common import shuffle_partitions, table, written
+from lanewise.llm._common import lean, shuffle_partitions, sliced, table, written
 
 CAPACITY = 2048
 SEPARATOR = 0
@@ -37,7 +37,7 @@ GROUPS = 512
 #: Pieces up to capacity / SMALL are small.
 SMALL = 8
 #: Words whose ids a worker keeps.
-CACHE = 600_000
+CACHE = 150_000
 #: Texts whose new words are encoded together.
 TOGETHER = 256
 
@@ -114,9 +114,10 @@ def _encoder(vocabulary: str) -> WordEncoder:
 def pieces(df: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, piece, start, length, ids_crc32) of every piece of every row."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(vocabulary)
-        for b in batches:
+        for b in sliced(batches):
             row, piece, start, length, crc = [], [], [], [], []
             for i, ids in enumerate(encode.many([t or "" for t in b.column(1).to_pylist()])):
                 ids += SEPARATOR.to_bytes(4, "little")

@@ -2,10 +2,11 @@
 
 A text is cut into words (spaces and what follows them); no piece but runs of spaces crosses a word. The new words of a
 batch become a relation of edges: every substring of bounded length is exploded, joined to the piece table on its hash, and
-kept with its word. The public model is a byte-pair model, so the fold that picks a word's path takes the edge of best
-rank among those that join two neighbours, leftmost first, until none is left, as the library does; a sum of scores along
-a path (Viterbi) would give other pieces. All words of a batch are folded at once. Characters without a piece become byte
-pieces. Paths of words are kept by each worker up to a bound.
+kept with its word. The fold over a word's edges follows the kind of the model, as the library does. A unigram model takes the
+path with the greatest sum of scores (Viterbi). A byte-pair model, such as the public one, takes the edge of best rank among
+those that join two neighbours, leftmost first, until none is left; a sum of scores would give other pieces. Characters
+without a piece become byte pieces. Paths of words are kept by each worker up to a bound. Models of other kinds, and those that
+change a text before they cut it, are refused.
 """
 
 from __future__ import annotations
@@ -19,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanewise.llm._common import table
+from lanewise.llm._common import lean, sliced, table
 
 #: Words whose paths a worker keeps.
-CACHE = 400_000
+CACHE = 200_000
 #: Texts whose new words are folded together.
 TOGETHER = 256
 SPACE_MARK = "▁"
@@ -38,6 +39,50 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+#: Kinds of models, as their files number them; and by how much a character without a piece scores below the worst piece.
+UNIGRAM, BPE = 1, 2
+UNKNOWN_PENALTY = 10.0
+
+
+def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a protocol buffer message; numbers of fixed size are left as bytes."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = raw[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(raw):
+        tag = varint()
+        if tag & 7 == 0:
+            yield tag >> 3, varint()
+        else:
+            size = varint() if tag & 7 == 2 else 8 if tag & 7 == 1 else 4
+            yield tag >> 3, raw[at : at + size]
+            at += size
+
+
+def model_kind(model: bytes) -> int:
+    """UNIGRAM or BPE; an error for a model that this module would encode otherwise than the library."""
+    fields = [(n, v) for n, v in _fields(model) if n in (2, 3)]
+    trainer, normalizer = (dict(_fields(b"".join(v for n, v in fields if n == k))) for k in (2, 3))
+    kind = trainer.get(3, UNIGRAM)
+    if kind not in (UNIGRAM, BPE):
+        raise ValueError("only unigram and byte-pair models are encoded")
+    if not trainer.get(35, 0):
+        raise ValueError("the model has no byte fallback")
+    if normalizer.get(2) or normalizer.get(4, 1) or not normalizer.get(3, 1) or not normalizer.get(5, 1):
+        raise ValueError("the model changes texts before it cuts them")
+    return kind
+
+
 def _hashes(points: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
     h = np.zeros(len(starts), np.uint64)
     for k in range(size):
@@ -56,7 +101,10 @@ class PieceTable:
     def __init__(self, model: str):
         from sentencepiece import SentencePieceProcessor
 
-        own = SentencePieceProcessor(model_file=model)
+        with open(model, "rb") as f:
+            raw = f.read()
+        self.kind = model_kind(raw)
+        own = SentencePieceProcessor(model_proto=raw)
         n = own.vocab_size()
         self.bytes: list[bytes] = []
         self.byte_ids = [0] * 256
@@ -71,7 +119,11 @@ class PieceTable:
             else:
                 self.bytes.append(piece.replace(SPACE_MARK, " ").encode())
                 normal.append((piece, i, own.get_score(i)))
+        if any(SPACE_MARK in p.lstrip(SPACE_MARK) for p, _, _ in normal):
+            raise ValueError("a piece crosses the words of a text")
         self.single = {p: i for p, i, _ in normal if len(p) == 1}
+        self.scores = {p: s for p, _, s in normal if len(p) == 1}
+        self.unknown = min((s for _, _, s in normal), default=0.0) - UNKNOWN_PENALTY
         self.longest = max((len(p) for p, _, _ in normal), default=1)
         by_hash = sorted((int(_hashes(_points(p), np.zeros(1, np.int64), len(p))[0]), i, -s) for p, i, s in normal if len(p) > 1)
         self.keys = np.array([k for k, _, _ in by_hash], np.uint64)
@@ -113,6 +165,9 @@ class PieceTable:
         ends = np.repeat(stops, sizes)
         start, end, ids, ranks = self.edges(points, ends)
         n = len(points)
+        if self.kind == UNIGRAM:
+            boundary, piece = self._viterbi(text, stops, start, end, ids, -ranks)
+            return self._spelled(text, stops, boundary, piece)
         # Characters that no edge crosses between are independent: each stretch of crossed ones is folded on its own.
         crossed = np.zeros(n + 1, np.int64)
         np.add.at(crossed, start + 1, 1)
@@ -138,6 +193,36 @@ class PieceTable:
                     break
                 boundary[(s + k)[cut]] = False
             piece[s] = ids[best]
+        return self._spelled(text, stops, boundary, piece)
+
+    def _viterbi(self, text: str, stops: np.ndarray, start: np.ndarray, end: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(boundaries, piece from each boundary or -1) of the path of the greatest sum of scores through each word."""
+        n = len(text)
+        boundary, piece = np.zeros(n + 1, bool), np.full(n, -1, np.int64)
+        into: list[list[tuple[int, int, float]]] = [[] for _ in range(n + 1)]
+        for a, b, i, s in zip(start.tolist(), end.tolist(), ids.tolist(), scores.tolist()):
+            into[b].append((a, i, s))
+        lo = 0
+        for hi in stops.tolist():
+            best, back = [0.0], [(lo, -1)]
+            for at in range(lo + 1, hi + 1):
+                c = text[at - 1]
+                options = [(best[at - 1 - lo] + self.scores.get(c, self.unknown), at - 1, -1), *((best[a - lo] + s, a, i) for a, i, s in into[at])]
+                top = max(options, key=lambda o: o[0])
+                best.append(top[0])
+                back.append(top[1:])
+            at = hi
+            boundary[hi] = True
+            while at > lo:
+                a, i = back[at - lo]
+                boundary[a], piece[a] = True, i
+                at = a
+            lo = hi
+        return boundary, piece
+
+    def _spelled(self, text: str, stops: np.ndarray, boundary: np.ndarray, piece: np.ndarray) -> list[bytes]:
+        """The ids of each word from its boundaries; a stretch without a piece is one character."""
+        n = len(text)
         heads = np.flatnonzero(boundary[:n])
         values, counts = piece[heads], np.ones(len(heads), np.int64)
         merged = values >= 0
@@ -199,8 +284,9 @@ def encoded(df: DataFrame, model: str | None = None, id_col: str = "doc_id", tex
     model = model or default_model()
     own = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             ids = list(encoder(model).many([t or "" for t in b.column(1).to_pylist()]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], names=["id", "ids"])
 
@@ -212,8 +298,9 @@ def decoded(df: DataFrame, model: str | None = None, id_col: str = "doc_id", ids
     model = model or default_model()
     own = df.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             pieces = encoder(model).table
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pieces.decode(i or b"") for i in b.column(1).to_pylist()], pa.string())], names=["id", "text"])
 
@@ -225,8 +312,9 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = default_model()
     own = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             codec = encoder(model)
             texts = b.column(1).to_pylist()
             ids = list(codec.many(texts))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanewise.llm._common import table, written
+from lanewise.llm._common import lean, sliced, table, written
 from lanewise.llm.graph import connected_components
 
 if TYPE_CHECKING:
@@ -54,8 +54,9 @@ def with_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, fp) of every row, and row if row_col is given; a null text counts as one without words."""
     rows = ["row"] if row_col else []
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t.as_py()) for t in b.column(1)], pa.int64()), *b.columns[2:]], names=["id", "fp", *rows])
 
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), *[F.col(row_col).alias(r) for r in rows]).mapInArrow(run, "id long, fp long" + ", row long" * len(rows))

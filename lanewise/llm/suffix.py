@@ -6,13 +6,15 @@ Suffixes that start at anchors are therefore enough to find every repeated windo
 
 1. The CONTEXT bytes from an anchor lie in each of its windows. Anchors whose context occurs once in the corpus have no
    repeated window. A bounded bitmap of the repeated contexts goes to the executors; a false hit costs work only.
-2. The other anchors are written with their *span*, the bytes that their windows cover. If a whole span occurs twice
-   with the same cut, all of its windows are repeated. Equal spans form one class.
-3. The remaining classes are sorted as suffixes: sampled splitters range-partition them by their leading bytes, each
-   bucket is sorted by multikey quicksort, and neighbours that share CONTEXT bytes form a group, in which the windows are
-   compared. Splitters compare contexts, so a group never crosses a bucket; a group that is too large for a bucket is
-   cut into ever smaller cells of windows instead, and the cells are counted across all buckets.
-4. Repeated windows become intervals of their documents.
+2. Neighbouring anchors that are left form runs, which their own bytes cut into *chunks* of some CHUNK anchors. Equal chunks
+   go on as one row with a count, so a passage that very many documents share is one row from here on. All windows of
+   a chunk that occurs twice are repeated.
+3. The *span* of an anchor is the bytes that its windows cover; equal spans, with equal cuts, form one class, which counts as
+   often as the chunks that hold it. Classes are sorted as suffixes: sampled splitters range-partition them by their leading
+   bytes, each bucket is sorted by multikey quicksort, and neighbours that share CONTEXT bytes form a group, in which the
+   windows are compared. Splitters compare contexts, so a group never crosses a bucket; a group that is too large for a
+   bucket is cut into ever smaller cells of windows instead, and the cells are counted across all buckets.
+4. Repeated windows become intervals of their chunks, and these of their documents.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanewise.llm._common import table, written
+from lanewise.llm._common import lean, sliced, table, written
 
 LENGTH = 200
 #: Windows that share an anchor at most, and the bytes from the anchor that all of them hold.
@@ -35,10 +37,14 @@ GRAM = 8
 GROUP = 200
 #: Classes of a bucket.
 BUCKET = 16_384
+#: Classes of a bucket that are compared at once.
+BLOCK = 2_048
 #: Bits of a bitmap at most (16 MB).
 BITS = 1 << 27
-#: Texts longer than this are anchored in overlapping segments.
-SEGMENT = 1 << 23
+#: Bytes that are anchored at once: longer texts in overlapping segments, shorter ones side by side.
+SEGMENT = 1 << 18
+#: A chunk ends after an anchor whose hash says so, one in CHUNK, from LEAST anchors on; and after MOST.
+CHUNK, LEAST, MOST = 16, 8, 256
 
 _LOW = np.uint64((1 << 24) - 1)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -78,34 +84,64 @@ def _least(a: np.ndarray, w: int) -> np.ndarray:
 
 
 class Anchored:
-    """Anchors of a text: at (place), lo and hi (first and last window start), key (context hash), span (span hash)."""
+    """Anchors of parts of texts, each of `length` bytes or more: of (number of the part), at (place in it), lo and hi (first and
+    last window start), key (context hash), span (span hash)."""
 
-    def __init__(self, text: bytes, length: int, reach: int, spans: bool = True):
-        bytes_ = np.frombuffer(text, np.uint8)
-        grams = np.lib.stride_tricks.sliding_window_view(bytes_, GRAM).copy().view("<u8").ravel()
+    def __init__(self, parts: list[bytes], length: int, reach: int, spans: bool = True):
+        text, sizes = b"".join(parts), np.array([len(p) for p in parts])
+        grams = np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), GRAM).copy().view("<u8").ravel()
         v = _mix(grams)
         n = len(text) - length + 1
         place = (_least((v[: n + reach - 1] & ~_LOW) | np.arange(n + reach - 1, dtype=np.uint64), reach) & _LOW).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-        self.at, self.lo, self.hi = place[first], first, np.append(first[1:], n) - 1
+        stops = np.cumsum(sizes)
+        own = np.repeat(np.arange(len(parts)), sizes)[:n]
+        whole = np.flatnonzero(np.arange(length, n + length) <= stops[own])  # windows that don't cross into the next part
+        own, place = own[whole], place[whole]
+        first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (own[1:] != own[:-1])]))
+        self.of, at, lo, hi = own[first], place[first], whole[first], whole[np.append(first[1:], len(whole)) - 1]
         up, down = _Powers.of(len(v) + 1)
         self._down = down
         self._sums = np.zeros(len(v) + 1, np.uint64)
         np.cumsum(v * up[: len(v)], out=self._sums[1:])
-        self.key = _mix(self._hash(self.at, self.at + length - reach + 1)).view(np.int64)
+        self.key = _mix(self._hash(at, at + length - reach + 1)).view(np.int64)
         if spans:
-            cut = (self.at - self.lo).astype(np.uint64) * _M2 + (self.hi - self.lo).astype(np.uint64)
-            self.span = _mix(_mix(self._hash(self.lo, self.hi + length)) + cut).view(np.int64)
+            cut = (at - lo).astype(np.uint64) * _M2 + (hi - lo).astype(np.uint64)
+            self.span = _mix(_mix(self._hash(lo, hi + length)) + cut).view(np.int64)
+        base = (stops - sizes)[self.of]
+        self.at, self.lo, self.hi = at - base, lo - base, hi - base
 
     def _hash(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         return (self._sums[stop - GRAM + 1] - self._sums[start]) * self._down[start]
 
 
-def _segments(text: bytes, length: int) -> Iterator[tuple[int, bytes]]:
-    """Overlapping parts of a text: every window lies in exactly one."""
-    if len(text) >= length:
+def _packs(rows: Iterator[tuple], length: int) -> Iterator[list[tuple]]:
+    """rows (..., text) -> lists of (..., start, segment): every window of a text lies in exactly one segment."""
+    held, size = [], 0
+    for *own, text in rows:
         for start in range(0, len(text) - length + 1, SEGMENT):
-            yield start, text[start : start + SEGMENT + length - 1]
+            part = text[start : start + SEGMENT + length - 1]
+            held.append((*own, start, part))
+            size += len(part)
+            if size >= SEGMENT:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def _cut_runs(known: np.ndarray, of: np.ndarray, span: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first, last) anchor of each chunk: runs of known neighbours in one part, cut after anchors that their hash marks."""
+    ends = np.ones(len(known), bool)
+    ends[:-1] = (known[1:] != known[:-1] + 1) | (of[known[1:]] != of[known[:-1]])
+    marked = ((span[known] >> 7) & (CHUNK - 1)) == 0
+    begin = 0
+    for i in np.flatnonzero(ends | marked).tolist():
+        while i - begin >= MOST:
+            yield int(known[begin]), int(known[begin + MOST - 1])
+            begin += MOST
+        if ends[i] or i - begin + 1 >= LEAST:
+            yield int(known[begin]), int(known[i])
+            begin = i + 1
 
 
 def _batches(columns: list[tuple[str, pa.DataType]], rows: Iterator[tuple], size: int = 20_000) -> Iterator[pa.RecordBatch]:
@@ -161,12 +197,19 @@ def multikey_sort(suffixes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bucket(rows: list[tuple[bytes, int, int, int, int]], length: int, reach: int) -> Iterator[tuple[int, int, int, int]]:
-    """rows (span bytes, place of the anchor in it, key, span hash, rows of the class): (key, span, first, last) of the repeated
+    """rows (span bytes, place of the anchor in it, key, span hash, count of the class): (key, span, first, last) of the repeated
     windows of each class that occurs once; first and last are offsets of window starts from the anchor."""
     order, shared = multikey_sort([x[a:] for x, a, *_ in rows])
     context = (length - reach + 1) // 8 * 8
-    group = np.cumsum(np.concatenate([[0], shared[1:] < context])).astype(np.uint64) if len(rows) else np.empty(0, np.uint64)
-    rows = [rows[i] for i in order]
+    begins = np.flatnonzero(np.concatenate([[True], shared[1:] < context]))
+    lo = 0
+    for at in [*begins[1:].tolist(), len(rows)]:  # whole groups, some BLOCK rows at once
+        if at - lo >= BLOCK or at == len(rows):
+            yield from _compared([rows[i] for i in order[lo:at]], np.searchsorted(begins, np.arange(lo, at), side="right").astype(np.uint64), length, reach)
+            lo = at
+
+
+def _compared(rows: list[tuple[bytes, int, int, int, int]], group: np.ndarray, length: int, reach: int) -> Iterator[tuple[int, int, int, int]]:
     left = reach - 1
     wide = left + length
     flat = np.zeros((len(rows), wide), np.uint8)
@@ -223,7 +266,7 @@ def _known(bitmap: np.ndarray, bits: int, keys: np.ndarray) -> np.ndarray:
 
 
 def removal_intervals(spark: SparkSession, texts: DataFrame, length: int = LENGTH, group: int = GROUP, bucket: int = BUCKET) -> DataFrame:
-    """texts (digest binary, text binary), one row per document: (digest, start int, stop int) of byte runs to remove.
+    """texts (digest binary, text binary), one row per document: (digest, start long, stop long) of byte runs to remove.
 
     Runs of one digest may overlap. Texts with equal digests must be equal; each row counts as an occurrence.
     """
@@ -231,58 +274,89 @@ def removal_intervals(spark: SparkSession, texts: DataFrame, length: int = LENGT
     if reach < 1:
         raise ValueError(f"length must be over {2 * GRAM}")
 
+    @lean
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [Anchored(part, length, reach, spans=False).key for t in b.column(0) for _, part in _segments(t.as_py(), length)]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found), pa.int64())], names=["key"])
+        for pack in _packs(((t.as_py(),) for b in batches for t in b.column(0)), length):
+            yield pa.RecordBatch.from_arrays([pa.array(Anchored([p[-1] for p in pack], length, reach, spans=False).key, pa.int64())], names=["key"])
 
     counted = texts.select("text").mapInArrow(keys, "key long").groupBy("key").agg(F.count("*").alias("n"))
     repeated = written(spark, counted.filter("n > 1").select("key"), "contexts")
-    bits = 1 << max(16, min(BITS.bit_length() - 1, (32 * repeated.count()).bit_length()))
-    shipped, bits = _bitmap(spark, repeated.select("key"))
-    columns = [("key", pa.int64()), ("span", pa.int64()), ("digest", pa.binary()), ("at", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("bytes", pa.binary())]
+    shipped, bits = _bitmap(spark, repeated)
+    columns = [("chunk", pa.binary()), ("digest", pa.binary()), ("start", pa.int64()), ("bytes", pa.binary())]
 
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shipped.value
+    @lean
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = shipped.value
 
         def rows() -> Iterator[tuple]:
-            for b in batches:
-                for digest, text in zip(b.column(0), b.column(1)):
-                    d, text = digest.as_py(), text.as_py()
-                    for start, part in _segments(text, length):
-                        x = Anchored(part, length, reach)
-                        for i in np.flatnonzero(_known(known, bits, x.key)):
-                            lo, hi = int(x.lo[i]), int(x.hi[i])
-                            yield int(x.key[i]), int(x.span[i]), d, start + int(x.at[i]), start + lo, start + hi, part[lo : hi + length]
-
-        yield from _batches(columns, rows(), 4096)
-
-    found = written(spark, texts.select("digest", "text").mapInArrow(anchors, "key long, span long, digest binary, at int, lo int, hi int, bytes binary"), "anchors")
-    classes = written(spark, found.groupBy("key", "span").agg(F.count("*").alias("n")), "classes")
+            for pack in _packs(((d.as_py(), t.as_py()) for b in batches for d, t in zip(b.column(0), b.column(1))), length):
+                x = Anchored([p[-1] for p in pack], length, reach)
+                known = np.flatnonzero(_known(bitmap, bits, x.key))
+                for i, j in _cut_runs(known, x.of, x.span) if len(known) else ():
+                    digest, start, part = pack[x.of[i]]
+                    own = part[x.lo[i] : x.hi[j] + length]
+                    yield hashlib.blake2b(own, digest_size=16).digest(), digest, start + int(x.lo[i]), own
+
+        yield from _batches(columns, rows(), 1024)
+
+    found = written(spark, texts.select("digest", "text").mapInArrow(chunks, "chunk binary, digest binary, start long, bytes binary"), "found")
+    shipped.destroy()
+    # Combined before the shuffle: a chunk that very many documents hold is one row per task.
+    kinds = written(spark, found.groupBy("chunk").agg(F.count("*").alias("n"), F.first("bytes").alias("bytes")), "chunks")
+
+    @lean
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pack in _packs(((n.as_py(), x.as_py()) for b in batches for n, x in zip(b.column(0), b.column(1))), length):
+            x = Anchored([p[-1] for p in pack], length, reach)
+            n = np.array([p[0] for p in pack], np.int64)[x.of]
+            yield pa.RecordBatch.from_arrays([pa.array(x.key), pa.array(x.span), pa.array(n)], names=["key", "span", "n"])
+
+    classes = written(spark, kinds.select("n", "bytes").mapInArrow(anchors, "key long, span long, n long").groupBy("key", "span").agg(F.sum("n").alias("n")), "classes")
     # Contexts with a class that occurs once, beside another class: their windows have to be compared.
     open_keys = written(spark, classes.groupBy("key").agg(F.count("*").alias("classes"), F.min("n").alias("least")).filter("classes > 1 and least = 1").select("key", "classes"), "open")
     undecided = written(spark, classes.join(open_keys, "key").select("key", "span", "n", "classes"), "undecided")
     # The bytes move only where another bitmap says that their class is undecided.
     wanted, wanted_bits = _bitmap(spark, undecided.select("span"))
+    span_columns = [("key", pa.int64()), ("span", pa.int64()), ("place", pa.int32()), ("bytes", pa.binary())]
 
-    def only_wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array(_known(wanted.value, wanted_bits, b.column(1).to_numpy())))
+    @lean
+    def span_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = wanted.value
+
+        def rows() -> Iterator[tuple]:
+            for pack in _packs(((x.as_py(),) for b in batches for x in b.column(0)), length):
+                x = Anchored([p[-1] for p in pack], length, reach)
+                for i in np.flatnonzero(_known(bitmap, wanted_bits, x.span)).tolist():
+                    yield int(x.key[i]), int(x.span[i]), int(x.at[i] - x.lo[i]), pack[x.of[i]][-1][x.lo[i] : x.hi[i] + length]
 
-    places = found.select("key", "span", (F.col("at") - F.col("lo")).alias("place"), "bytes")
-    # One row per class, combined before the shuffle: a class that very many documents hold is one row per task.
-    one = places.mapInArrow(only_wanted, places.schema).groupBy("key", "span").agg(F.first("place").alias("place"), F.first("bytes").alias("bytes"))
+        yield from _batches(span_columns, rows(), 4096)
+
+    moved = kinds.select("bytes").mapInArrow(span_bytes, "key long, span long, place int, bytes binary")
+    one = moved.groupBy("key", "span").agg(F.first("place").alias("place"), F.first("bytes").alias("bytes"))
     spans = written(spark, one.join(undecided, ["key", "span"]), "spans")
+    wanted.destroy()
     hits = _sorted_hits(spark, spans.filter(F.col("classes") <= group), length, reach, bucket)
     large = spans.filter(F.col("classes") > group)
     if not large.isEmpty():
         hits = hits.unionByName(_refined_hits(spark, large, length))
-    whole = classes.filter("n > 1").select("key", "span", F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
-    verdicts = written(spark, whole.unionByName(hits), "verdicts")
-    marked = found.select("key", "span", "digest", "at", "lo", "hi").join(verdicts, ["key", "span"])
+    none = F.lit(None).cast("int")
+    verdicts = written(spark, classes.filter("n > 1").select("key", "span", none.alias("first"), none.alias("last")).unionByName(hits), "verdicts")
+
+    @lean
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pack in _packs(((c.as_py(), x.as_py()) for b in batches for c, x in zip(b.column(0), b.column(1))), length):
+            x = Anchored([p[-1] for p in pack], length, reach)
+            names = pa.array([p[0] for p in pack], pa.binary()).take(pa.array(x.of))
+            yield pa.RecordBatch.from_arrays([pa.array(x.key), pa.array(x.span), names, *[pa.array(a.astype(np.int32)) for a in (x.at, x.lo, x.hi)]], names=["key", "span", "chunk", "at", "lo", "hi"])
+
+    single = kinds.filter("n = 1").select("chunk", "bytes").mapInArrow(placed, "key long, span long, chunk binary, at int, lo int, hi int")
     start, stop = F.coalesce(F.col("at") + F.col("first"), "lo"), F.coalesce(F.col("at") + F.col("last"), "hi") + length
-    return marked.select("digest", start.alias("start"), stop.alias("stop")).distinct()
+    marked = single.join(verdicts, ["key", "span"]).select("chunk", F.struct(start.alias("start"), stop.alias("stop")).alias("run"))
+    parts = marked.groupBy("chunk").agg(F.collect_list("run").alias("runs"))  # the anchors of a chunk: a bounded list
+    whole = kinds.filter("n > 1").select("chunk", F.array(F.struct(F.lit(0).alias("start"), F.length("bytes").alias("stop"))).alias("runs"))
+    runs = written(spark, parts.unionByName(whole), "chunk_runs")
+    each = found.select("chunk", "digest", F.col("start").alias("base")).join(runs, "chunk").select("digest", "base", F.explode("runs").alias("run"))
+    return each.select("digest", (F.col("base") + F.col("run.start")).alias("start"), (F.col("base") + F.col("run.stop")).alias("stop")).distinct()
 
 
 def _sorted_hits(spark: SparkSession, spans: DataFrame, length: int, reach: int, bucket: int) -> DataFrame:
@@ -290,6 +364,7 @@ def _sorted_hits(spark: SparkSession, spans: DataFrame, length: int, reach: int,
     context = F.expr(f"substring(bytes, place + 1, {length - reach + 1})")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-spans.count() // bucket))
 
+    @lean
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [tuple(r.values()) for b in batches for r in b.to_pylist()]
         if rows:
@@ -310,6 +385,7 @@ def _refined_hits(spark: SparkSession, spans: DataFrame, length: int) -> DataFra
     columns = [("core", pa.binary()), ("whole", pa.binary()), ("key", pa.int64()), ("span", pa.int64()), ("n", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("bytes", pa.binary())]
 
     def split(width: int):
+        @lean
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def cells() -> Iterator[tuple]:
                 for b in batches:
@@ -369,8 +445,9 @@ def remove_repeats(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", t
     fields = joined.schema
     out = f"id {fields['id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, more {fields['more'].dataType.simpleString()}"
 
+    @lean
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             texts = b.column(1).to_pylist()
             cut = [_cut(t, r and [(x["start"], x["stop"]) for x in r]) for t, r in zip(texts, b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays(

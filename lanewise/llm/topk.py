@@ -2,9 +2,11 @@
 
 Components become whole numbers, floor(SCALE * x), so scores are exact. A rotation from the second moments of all vectors
 (the right singular vectors of the data) moves most of their length to the leading coordinates. Candidates are dealt into
-blocks by descending length. A block meets a block of queries: first the leading coordinates give partial sums, then by
-Cauchy-Schwarz the lengths of what is left bound each score, and only pairs whose bound reaches the query's current k-th
-score are computed whole. The longest candidates come first, which gives every query a threshold before all other blocks.
+blocks by descending length, and the blocks are met in rounds of falling length, each EACH times as many as before. A block of
+queries meets a block of candidates only if the longest vector there can reach the k-th score of one of its queries, which
+the small tables of the blocks' lengths decide before any vector travels. Where two blocks meet, the leading coordinates
+give partial sums, then by Cauchy-Schwarz the lengths of what is left bound each score, and only pairs whose bound reaches
+the query's current k-th score are computed whole.
 """
 
 from __future__ import annotations
@@ -20,15 +22,17 @@ from lanewise.llm._common import table, written
 
 SCALE = 1024
 K = 10
-#: Rows of a block of candidates, and of queries.
-BLOCK = 4096
+#: Bytes of a block of candidates, as doubles, and rows of a block of queries.
+BLOCK_BYTES = 1 << 23
 QUERIES_OF_BLOCK = 512
+#: Growth of the rounds.
+EACH = 8
 #: Candidates that a chunk prunes together.
 CHUNK = 512
 #: Share of the squared length that the leading coordinates hold at least.
 ENERGY = 0.6
 EVERY = 100
-_SLACK = 1e-9
+_SLACK = 1e-7
 _LONG = 2**63 - 1
 
 
@@ -47,20 +51,29 @@ def _whole(vectors: pa.Array, scale: int) -> tuple[np.ndarray, dict[int, tuple[n
 
 
 def _vectors(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(id, dim, norm, v) of the rows that take part; v holds the whole numbers as packed doubles."""
+    """(id, dim, norm, v) of the rows that take part; v holds the whole numbers, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for dim, (rows, m) in _whole(b.column(1), scale).items():
                 norms = np.sqrt((m * m).sum(axis=1))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array([dim] * len(rows), pa.int32()), pa.array(norms), pa.array([r.tobytes() for r in m], pa.binary())], names=["id", "dim", "norm", "v"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array([dim] * len(rows), pa.int32()), pa.array(norms), pa.array([_packed(r) for r in m], pa.binary())], names=["id", "dim", "norm", "v"])
 
     own = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).filter("id is not null")
     return own.mapInArrow(run, "id long, dim int, norm double, v binary")
 
 
+def _packed(m: np.ndarray) -> bytes:
+    """Whole numbers as floats of four bytes where these hold them, else of eight."""
+    return m.astype(np.float32 if np.abs(m).max(initial=0) < 2**24 else np.float64).tobytes()
+
+
+def _unpacked(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, np.float32 if len(raw) == 4 * n else np.float64).astype(np.float64)
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dim)
+    return np.concatenate([_unpacked(r, dim) for r in column.to_pylist()]).reshape(-1, dim)
 
 
 def rotations(vectors: DataFrame) -> dict[int, tuple[np.ndarray, int]]:
@@ -80,31 +93,29 @@ def rotations(vectors: DataFrame) -> dict[int, tuple[np.ndarray, int]]:
     parts = vectors.select("dim", "v").mapInArrow(run, "dim int, row int, moments array<double>")
     cells = parts.select("dim", "row", F.posexplode("moments").alias("at", "m")).groupBy("dim", "row", "at").agg(F.sum("m").alias("m"))
     out = {}
-    for dim, own in cells.toPandas().groupby("dim"):
-        moments = np.zeros((dim, dim))
-        moments[own["row"], own["at"]] = own["m"]
+    sums: dict[int, np.ndarray] = {}
+    for r in cells.toLocalIterator():  # as many numbers as the rotation itself has
+        sums.setdefault(r["dim"], np.zeros((r["dim"], r["dim"])))[r["row"], r["at"]] = r["m"]
+    for dim, moments in sums.items():
         values, basis = np.linalg.eigh((moments + moments.T) / 2)
         share = np.cumsum(values[::-1]) / max(values.sum(), 1e-300)
         out[int(dim)] = (np.ascontiguousarray(basis[:, ::-1]), min(int(dim), int(np.searchsorted(share, ENERGY)) + 1))
     return out
 
 
-def _blocks(size: int, rotate: dict[int, tuple[np.ndarray, int]]):
-    """Rows in order -> blocks of one dimension: ids, whole numbers, lengths of all and of the trailing coordinates, leading coordinates."""
+def _blocks(rows: int | None):
+    """Rows in order -> blocks of one dimension: ids and whole numbers, with the greatest length; `rows` each, or as BLOCK_BYTES allows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def block(ids: np.ndarray, dim: int, m: np.ndarray) -> pa.RecordBatch:
-            basis, lead = rotate[dim]
-            turned = m @ basis
-            rest = np.sqrt((turned[:, lead:] ** 2).sum(axis=1))
-            norms = np.sqrt((m * m).sum(axis=1))
-            cells = [np.ascontiguousarray(a).tobytes() for a in (ids, m, norms, rest, turned[:, :lead])]
-            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([float(norms.max())]), pa.array([float(norms.min())]), *[pa.array([c], pa.binary()) for c in cells]], names=["dim", "longest", "shortest", "ids", "m", "norms", "rest", "lead"])
+            longest = float(np.sqrt((m * m).sum(axis=1)).max())
+            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([longest]), pa.array([ids.tobytes()], pa.binary()), pa.array([_packed(m)], pa.binary())], names=["dim", "longest", "ids", "m"])
 
         held: dict[int, tuple[list[np.ndarray], list[np.ndarray]]] = {}
         for b in batches:
             dims, ids = b.column(1).to_numpy(), b.column(0).to_numpy()
             for dim in np.unique(dims):
+                size = rows or max(1, BLOCK_BYTES // (8 * int(dim)))
                 own = held.setdefault(int(dim), ([], []))
                 own[0].append(ids[dims == dim])
                 own[1].append(_matrix(b.column(2).filter(pa.array(dims == dim)), int(dim)))
@@ -121,7 +132,7 @@ def _blocks(size: int, rotate: dict[int, tuple[np.ndarray, int]]):
     return run
 
 
-_BLOCK_SCHEMA = "dim int, longest double, shortest double, ids binary, m binary, norms binary, rest binary, lead binary"
+_BLOCK_SCHEMA = "dim int, longest double, ids binary, m binary"
 
 
 def _exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -163,78 +174,84 @@ def _best(q: dict, c: dict, k: int, least: np.ndarray) -> tuple[np.ndarray, np.n
     return row, ids[row, col], scores[row, col]
 
 
-def _open(r: dict, side: str) -> dict:
-    dim, raw = r["dim"], {n: r[side + n] for n in ("ids", "m", "norms", "rest", "lead")}
-    ids = np.frombuffer(raw["ids"], np.int64)
-    return {"ids": ids, "norms": np.frombuffer(raw["norms"]), "rest": np.frombuffer(raw["rest"]), "m": np.frombuffer(raw["m"]).reshape(-1, dim), "lead": np.frombuffer(raw["lead"]).reshape(len(ids), -1)}
+def _open(dim: int, ids: bytes, m: bytes, rotate: dict[int, tuple[np.ndarray, int]]) -> dict:
+    own = np.frombuffer(ids, np.int64)
+    whole = _unpacked(m, len(own) * dim).reshape(-1, dim)
+    basis, lead = rotate[dim]
+    turned, norms = whole @ basis[:, :lead], np.sqrt((whole * whole).sum(axis=1))
+    return {"ids": own, "m": whole, "norms": norms, "lead": turned, "rest": np.sqrt(np.maximum(norms**2 - (turned * turned).sum(axis=1), 0))}
 
 
-def top_k(spark: SparkSession, df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, scale: int = SCALE, block: int = BLOCK, query_block: int = QUERIES_OF_BLOCK) -> DataFrame:
+def top_k(spark: SparkSession, df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, scale: int = SCALE, block: int | None = None, query_block: int = QUERIES_OF_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of df with the highest inner products, for each row of queries.
 
     A query's candidates are the rows with another id and as many components. Ties go to the smaller id; rows of df that
     share an id are candidates each; repeated queries are answered once, and queries that share an id together. Rows with a null id or vector, without
     components, or with a null or non-finite component (scaled, too) take no part. Scores beyond a long are held at its
-    ends. Empty tables give an empty one. Other columns are not read.
+    ends. Empty tables give an empty one. Other columns are not read, whatever their names.
     """
     vectors = written(spark, _vectors(df, id_col, vector_col, scale), "vectors")
     rotate = rotations(vectors)
-    n = vectors.count()
-    parts = max(1, -(-n // (4 * block)))
+    shipped = spark.sparkContext.broadcast(rotate)  # dim x dim numbers for each dimension
+    size = vectors.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("dim") * F.lit(8)), F.lit(0)).alias("bytes")).first()
+    parts = max(1, -(-size["n"] // (4 * block)) if block else size["bytes"] // (4 * BLOCK_BYTES) + 1)
     dealt = vectors.repartitionByRange(parts, F.col("dim"), F.col("norm").desc(), "id").sortWithinPartitions("dim", F.col("norm").desc(), "id")
-    candidates = written(spark, dealt.select("id", "dim", "v").mapInArrow(_blocks(block, rotate), _BLOCK_SCHEMA).withColumn("part", F.monotonically_increasing_id()), "candidates")
+    candidates = written(spark, dealt.select("id", "dim", "v").mapInArrow(_blocks(block), _BLOCK_SCHEMA).withColumn("part", F.monotonically_increasing_id()), "candidates")
     asked = _vectors(queries, id_col, vector_col, scale).filter(F.col("dim").isin(list(rotate))).dropDuplicates(["id", "v"])
     asked_parts = max(1, -(-asked.count() // (4 * query_block)))
     grouped = asked.repartitionByRange(asked_parts, "dim", "norm", "id").sortWithinPartitions("dim", "norm", "id")
-    asked = written(spark, grouped.select("id", "dim", "v").mapInArrow(_blocks(query_block, rotate), _BLOCK_SCHEMA).withColumn("block", F.monotonically_increasing_id()), "queries")
-    head = candidates.groupBy("dim").agg(F.max_by("part", "longest").alias("part"))  # one block per dimension
-    first = written(spark, _meet(asked.withColumn("least", F.lit(None).cast("binary")), candidates.join(head, ["dim", "part"], "left_semi"), k), "first")
-    own = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # k rows per query and block
-    least = first.withColumn("rank", F.row_number().over(own)).filter(F.col("rank") == k).select("query_id", "block", "score")
-    limits = least.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("query_id", "score"))).alias("limits"))  # one row per query of a block
-    rest = _meet(_limited(asked.join(limits, "block", "left")), candidates.join(head, ["dim", "part"], "left_anti"), k)
-    every = first.unionByName(rest).drop("block")
-    ranked = every.withColumn("rank", F.row_number().over(own)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-
-
-def _limited(asked: DataFrame) -> DataFrame:
-    """Blocks of queries with the score that each query has k times already, packed in the order of its ids."""
+    asked = written(spark, grouped.select("id", "dim", "v").mapInArrow(_blocks(query_block), _BLOCK_SCHEMA).withColumn("block", F.monotonically_increasing_id()), "queries")
+    # One row per block: its place by falling length, and the round that it is met in.
+    place = F.row_number().over(Window.partitionBy("dim").orderBy("part"))
+    heads = written(spark, candidates.select("dim", "part", "longest").withColumn("round", F.ceil(F.log(float(EACH), place) - 1e-9).cast("int")), "heads")
+    rounds = heads.agg(F.coalesce(F.max("round"), F.lit(-1))).first()[0] + 1
+    best = spark.createDataFrame([], "query_id long, block long, vec_id long, score long")
+    own = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    for r in range(rounds):
+        found = _meet(asked, _limits(spark, asked, best, k), candidates, heads.filter(F.col("round") == r), k, shipped)
+        ranked = best.unionByName(found).withColumn("rank", F.row_number().over(own)).filter(F.col("rank") <= k)
+        best = written(spark, ranked.drop("rank"), "best")  # k rows per query
+    return best.withColumn("rank", F.row_number().over(own)).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _limits(spark: SparkSession, asked: DataFrame, best: DataFrame, k: int) -> DataFrame:
+    """(dim, block, reach, least) of the blocks of queries: least is the score that each query has k times already, in the order of the
+    block's ids; a candidate shorter than reach beats none of these."""
+    last = best.groupBy("query_id", "block").agg(F.count("*").alias("n"), F.min("score").alias("score")).filter(F.col("n") >= k)
+    limits = last.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("query_id", "score"))).alias("limits"))  # one row per query of a block
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = b.schema.get_field_index("limits")
-            packed = []
-            for ids, limits in zip(b.column(b.schema.get_field_index("ids")).to_pylist(), b.column(at).to_pylist()):
-                known = dict(limits or [])
-                packed.append(np.array([known.get(i, -_LONG) for i in np.frombuffer(ids, np.int64).tolist()], np.int64).tobytes())
-            names = [n for n in b.schema.names if n != "limits"]
-            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(n)) for n in names], pa.array(packed, pa.binary())], names=[*names, "least"])
+            for dim, block, ids, m, known in zip(*(c.to_pylist() for c in b.columns)):
+                own, known = np.frombuffer(ids, np.int64), dict(known or [])
+                least = np.array([known.get(i, -_LONG) for i in own.tolist()], np.int64)
+                whole = _unpacked(m, len(own) * dim).reshape(-1, dim)
+                norms = np.sqrt((whole * whole).sum(axis=1))
+                # A query of length zero scores zero whatever it meets: without k scores, or a least one below zero, all may matter.
+                need = np.where(least <= 0, 0.0, (least.astype(np.float64) * (1 - _SLACK) - 1) / np.maximum(norms, 1e-300))
+                yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([block], pa.int64()), pa.array([float(max(0.0, need.min()))]), pa.array([least.tobytes()], pa.binary())], names=["dim", "block", "reach", "least"])
 
-    kept = asked.drop("limits")
-    return asked.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema) + ", least binary")
+    own = asked.select("dim", "block", "ids", "m").join(limits, "block", "left").select("dim", "block", "ids", "m", "limits")
+    return written(spark, own.mapInArrow(run, "dim int, block long, reach double, least binary"), "limits")
 
 
-def _meet(asked: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
-    """(query_id, block, vec_id, score): each query's k best of each block of candidates, where they reach its limit.
+def _meet(asked: DataFrame, limits: DataFrame, candidates: DataFrame, heads: DataFrame, k: int, rotate) -> DataFrame:
+    """(query_id, block, vec_id, score): each query's k best of each block of candidates that it meets, where they reach its limit.
 
-    A pair of blocks is one row. Blocks of candidates are few and dealt by their number; each block of queries is sent to
-    every block of candidates, which is the blocked search of a stated query set.
+    The pairs that meet are chosen from one row per block on each side; then the blocks of queries, the smaller ones, travel to
+    the blocks of candidates.
     """
-    names = ["ids", "m", "norms", "rest", "lead"]
-    heads = candidates.select("dim", "part", "longest")
-    pairs = asked.select("dim", "block").join(heads, "dim")
-    q = asked.select("dim", "block", "least", *[F.col(n).alias(f"q_{n}") for n in names])
-    c = candidates.select("dim", "part", *[F.col(n).alias(f"c_{n}") for n in names])
-    joined = pairs.select("dim", "block", "part").join(q, ["dim", "block"]).join(c, ["dim", "part"])  # the smaller blocks travel
+    pairs = limits.join(heads.select("dim", "part", "longest"), "dim").filter("longest >= reach").select("dim", "block", "part", "least")
+    q = asked.select("dim", "block", F.col("ids").alias("q_ids"), F.col("m").alias("q_m"))
+    c = candidates.select("dim", "part", F.col("ids").alias("c_ids"), F.col("m").alias("c_m"))
+    joined = pairs.join(q, ["dim", "block"]).join(c, ["dim", "part"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):  # one pair of blocks at a time
                 r = b.slice(i, 1).to_pylist()[0]
-                mine, theirs = _open(r, "q_"), _open(r, "c_")
-                least = np.frombuffer(r["least"], np.int64) if r["least"] is not None else np.full(len(mine["ids"]), -_LONG)
-                row, ids, scores = _best(mine, theirs, k, least)
+                mine, theirs = _open(r["dim"], r["q_ids"], r["q_m"], rotate.value), _open(r["dim"], r["c_ids"], r["c_m"], rotate.value)
+                row, ids, scores = _best(mine, theirs, k, np.frombuffer(r["least"], np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(mine["ids"][row], pa.int64()), pa.array([r["block"]] * len(row), pa.int64()), pa.array(ids, pa.int64()), pa.array(scores, pa.int64())], names=["query_id", "block", "vec_id", "score"])
 
     return joined.mapInArrow(run, "query_id long, block long, vec_id long, score long")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanewise.llm._common import table
+from lanewise.llm._common import lean, sliced, table
 
 SLOTS = 1 << 18
 #: Labelled rows that the machine is fitted on, at most: those with the least hashes of their ids.
@@ -140,9 +140,10 @@ def toxicity_scores(spark: SparkSession, df: DataFrame, labels: DataFrame, id_co
     shipped = spark.sparkContext.broadcast(machine)
     own = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), F.struct(F.lit(0).alias("_"), *[F.col(k) for k in keep or []]).alias("more"))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
-        for b in batches:
+        for b in sliced(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m.score(terms(t.as_py())) for t in b.column(1)], pa.float64()), b.column(2)], names=["id", "score", "more"])
 
     kinds = {f.name: f.dataType.simpleString() for f in own.schema}
