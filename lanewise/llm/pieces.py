@@ -208,7 +208,7 @@ class PieceTable:
             for at in range(lo + 1, hi + 1):
                 c = text[at - 1]
                 options = [(best[at - 1 - lo] + self.scores.get(c, self.unknown), at - 1, -1), *((best[a - lo] + s, a, i) for a, i, s in into[at])]
-                top = max(options, key=lambda o: o[0])
+                top = max(options, key=lambda o: (o[0], -o[1]))  # of equal sums the one whose last piece is longest, as the library has it
                 best.append(top[0])
                 back.append(top[1:])
             at = hi

@@ -2,8 +2,9 @@
 
 Equal fingerprints are one point. A vantage-point tree, built on a bounded sample of the points, cuts Hamming space
 into shards; every point has one home shard, and a copy of it visits each shard that its ball of `max_bits` may reach
-by the triangle bound. Inside a shard a local tree prunes the same way and XOR + popcount decides. A shard larger than
-its target is cut into chunks that meet pairwise, so no task holds an unbounded shard. Each task returns a spanning
+by the triangle bound. A shard with far more points than its target has a tree of its own, fitted on its own points, and so
+on, so the shards stay small however many points there are. Inside a shard a local tree prunes the same way and XOR + popcount
+decides. A shard that no vantage point cuts is dealt into chunks that meet pairwise, so no task holds an unbounded shard. Each task returns a spanning
 forest of the links it finds, never all pairs; the components are then joined across shards.
 """
 
@@ -30,6 +31,10 @@ SAMPLE = 65_536
 SHARD = 1024
 CHUNK = 2048
 VISITORS = 8192
+#: Points at home from which a shard gets a tree of its own, points that this tree is fitted on, and trees above one another.
+SPLIT, SPLIT_SAMPLE, LEVELS = 8192, 8192, 4
+#: Points that a task routes through the tree of a shard.
+ROUTED = 65_536
 SHINGLE = 3
 SEED = 42
 _SLICE = 65_536
@@ -103,14 +108,14 @@ def build_tree(sample: np.ndarray, leaf: int, radius: int) -> list[tuple[int, in
     return nodes
 
 
-def route(nodes: list[tuple[int, int, int, int]], points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(point index, shard, at home) for every shard that a point lives in or visits.
+def route(nodes: list[tuple[int, int, int, int]], points: np.ndarray, radius: int, home: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(point index, shard, at home) for every shard that a point lives in or visits; home tells visitors from those at home at the root.
 
     Of two linked points on both sides of a cut, only the inner one visits the outer side; the visit then follows
     every branch that its ball may reach.
     """
     out: list[tuple[np.ndarray, int, np.ndarray]] = []
-    todo = [(0, np.arange(len(points)), np.ones(len(points), bool))]
+    todo = [(0, np.arange(len(points)), np.ones(len(points), bool) if home is None else home)]
     while todo:
         at, idx, home = todo.pop()
         if not len(idx):
@@ -175,6 +180,37 @@ def _forest(task: pd.DataFrame, radius: int) -> pd.DataFrame:
     return pd.DataFrame({"src": points[moved], "dst": points[least[moved]]})
 
 
+def _split(spark: SparkSession, visits: DataFrame, large: DataFrame, radius: int, shard: int) -> DataFrame:
+    """visits (fp, shard, home) with the shards of large (shard, n points at home) cut by trees of their own.
+
+    The tree of a shard is fitted in one task on about SPLIT_SAMPLE of its points; its points are dealt to tasks of ROUTED.
+    New names of shards are hashes: if two agreed, their points would only be compared without need.
+    """
+    import pandas as pd
+
+    def fit(points: pd.DataFrame) -> pd.DataFrame:
+        own = points["fp"].to_numpy()
+        nodes = build_tree(own.view(np.uint64), max(8, int(shard * len(own) / points["n"].iloc[0])), radius)
+        flat = np.array([(v if v < 1 << 63 else v - (1 << 64), mu, a, b) for v, mu, a, b in nodes], np.int64)
+        return pd.DataFrame({"shard": [points["shard"].iloc[0]], "nodes": [flat.tobytes()]})
+
+    def routed(points: pd.DataFrame, tree: pd.DataFrame) -> pd.DataFrame:
+        nodes = [(v % (1 << 64), mu, a, b) for v, mu, a, b in np.frombuffer(tree["nodes"].iloc[0], np.int64).reshape(-1, 4).tolist()]
+        fp = points["fp"].to_numpy()
+        i, s, home = route(nodes, fp.view(np.uint64), radius, points["home"].to_numpy())
+        return pd.DataFrame({"fp": fp[i], "shard": points["shard"].to_numpy()[i], "part": s, "home": home})
+
+    mine = visits.join(large, "shard")
+    some = mine.filter("home").filter(F.pmod(F.xxhash64("fp", F.lit("split")), F.lit(1 << 20)) * F.col("n") < float(SPLIT_SAMPLE << 20))
+    trees = written(spark, some.groupBy("shard").applyInPandas(fit, "shard long, nodes binary"), "trees")
+    salts = F.ceil(F.col("n") / ROUTED).cast("int")
+    dealt = mine.join(trees.select("shard"), "shard", "left_semi").select("fp", "shard", "home", F.pmod(F.xxhash64("fp", F.lit("deal")), salts).cast("int").alias("salt"))
+    copied = trees.join(large, "shard").select("shard", "nodes", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    cut = dealt.groupBy("shard", "salt").cogroup(copied.groupBy("shard", "salt")).applyInPandas(lambda p, t: routed(p, t) if len(p) and len(t) else pd.DataFrame({"fp": np.empty(0, np.int64), "shard": np.empty(0, np.int64), "part": np.empty(0, np.int64), "home": np.empty(0, bool)}), "fp long, shard long, part long, home boolean")
+    rest = visits.join(trees.select("shard"), "shard", "left_anti")
+    return written(spark, rest.select("fp", "shard", "home").unionByName(cut.select("fp", F.xxhash64("shard", "part").alias("shard"), "home")), "visits")
+
+
 def links(spark: SparkSession, points: DataFrame, radius: int, shard: int = SHARD, chunk: int = CHUNK, visitors: int = VISITORS) -> DataFrame:
     """points (fp long, distinct): edges (src, dst) whose components are those of all links within radius bits."""
     n = points.count()
@@ -187,12 +223,21 @@ def links(spark: SparkSession, points: DataFrame, radius: int, shard: int = SHAR
         for b in batches:
             fp = b.column(0).to_numpy(zero_copy_only=False)
             i, s, home = route(nodes, fp.view(np.uint64), radius)
-            yield pa.RecordBatch.from_arrays([pa.array(fp[i], pa.int64()), pa.array(s, pa.int32()), pa.array(home)], names=["fp", "shard", "home"])
-
-    visits = written(spark, points.select("fp").mapInArrow(routed, "fp long, shard int, home boolean"), "visits")
-    # One row per shard, and there are at most as many shards as sampled points: a bounded table.
-    sizes = visits.groupBy("shard").agg(F.ceil(F.sum(F.when(F.col("home"), 1).otherwise(0)) / chunk).cast("int").alias("homes"), F.ceil(F.sum(F.when(F.col("home"), 0).otherwise(1)) / visitors).cast("int").alias("guests"))
-    chunked = visits.join(F.broadcast(sizes.filter("homes > 0")), "shard")
+            yield pa.RecordBatch.from_arrays([pa.array(fp[i], pa.int64()), pa.array(s, pa.int64()), pa.array(home)], names=["fp", "shard", "home"])
+
+    visits = written(spark, points.select("fp").mapInArrow(routed, "fp long, shard long, home boolean"), "visits")
+    kept = None  # shards that no tree cuts further
+    for _ in range(LEVELS):
+        count = visits.groupBy("shard").agg(F.count_if("home").alias("n"))
+        large = count.filter(F.col("n") > SPLIT)
+        large = written(spark, large if kept is None else large.join(kept, ["shard", "n"], "left_anti"), "large")
+        if large.isEmpty():
+            break
+        visits = _split(spark, visits, large, radius, shard)
+        # A shard that came out as it went in has another name and the same size.
+        kept = large.select(F.xxhash64("shard", F.lit(0).cast("long")).alias("shard"), "n")
+    sizes = written(spark, visits.groupBy("shard").agg(F.ceil(F.count_if("home") / chunk).cast("int").alias("homes"), F.ceil(F.count_if(~F.col("home")) / visitors).cast("int").alias("guests")), "sizes")
+    chunked = visits.join(sizes.filter("homes > 0"), "shard")
     own = F.pmod(F.xxhash64("fp"), F.col("homes")).cast("int")
     guest = F.pmod(F.xxhash64("fp"), F.greatest(F.lit(1), "guests")).cast("int")
     every, guests = F.sequence(F.lit(0), F.col("homes") - 1), F.when(F.col("guests") > 0, F.sequence(F.lit(0), F.col("guests") - 1)).otherwise(F.array().cast("array<int>"))

@@ -1,12 +1,14 @@
 """Every training-data operator against brute force or DuckDB, and on awkward tables."""
 
 import hashlib
+import struct
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from lanewise.llm import html, lattice, packing, pieces, quality, registry, secrets, simhash, stages, suffix, topk, toxicity, urls
@@ -142,6 +144,70 @@ def test_relational_lattice_equals_the_array_form(spark, docs):
     assert lattice.encoded_relational(spark, df.limit(0)).count() == 0
 
 
+def message(fields):
+    """A protocol buffer message of (number, whole number, bytes or float)."""
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    one = lambda n, v: varint(n << 3 | 5) + struct.pack("<f", v) if isinstance(v, float) else varint(n << 3) + varint(v) if isinstance(v, int) else varint(n << 3 | 2) + varint(len(v)) + v
+    return b"".join(one(n, v) for n, v in fields)
+
+
+def unigram_model(kind=1, fallback=1):
+    """A model made by hand: three special pieces, the bytes, and pieces with scores."""
+    normal = [("▁", -3.0), ("a", -2.5), ("b", -2.75), ("ab", -4.0), ("▁a", -3.5), ("▁ab", -5.5), ("ba", -3.25), ("bab", -7.5), ("c", -5.0), ("abc", -6.0), ("▁▁", -4.5), ("cab", -6.25)]
+    pieces_ = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *[(f"<0x{b:02X}>", 0.0, 6) for b in range(256)], *[(p, s, 1) for p, s in normal]]
+    return message([*[(1, message([(1, p.encode()), (2, s), (3, t)])) for p, s, t in pieces_], (2, message([(3, kind), (35, fallback)])), (3, message([(1, b"identity"), (3, 1), (4, 0)]))])
+
+
+def test_unigram_models_take_the_best_sum(spark, tmp_path):
+    from sentencepiece import SentencePieceProcessor
+
+    path = str(tmp_path / "unigram.model")
+    open(path, "wb").write(unigram_model())
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("aabbc  é"), int(rng.integers(0, 14)))) for _ in range(150)] + ["babab cabc", "   ", ""]
+    own = SentencePieceProcessor(model_file=path)
+    want = {i: np.array(own.encode(t), "<u4").tobytes() for i, t in enumerate(texts)}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: bytes(r["ids"]) for r in pieces.encoded(df, path).collect()} == want
+    assert {r["doc_id"]: bytes(r["ids"]) for r in lattice.encoded_relational(spark, df, path).collect()} == want
+    assert pieces.encoded(df.limit(0), path).count() == 0
+    for kind, fallback in ((3, 1), (4, 1), (1, 0)):
+        with pytest.raises(ValueError):
+            pieces.model_kind(unigram_model(kind, fallback))
+
+
+def test_op7_query(spark):
+    """The query's columns against the library, on whole documents."""
+    from sentencepiece import SentencePieceProcessor
+
+    own = SentencePieceProcessor(model_file=pieces.default_model())
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in pieces.op7_sentencepiece(spark, SF).collect():
+        ids = np.array(own.encode(texts[r["doc_id"]]), "<u4")
+        assert (r["n_tokens"], r["ids_crc32"], r["round_trip"]) == (len(ids), zlib.crc32(ids.tobytes()), True)
+
+
+def test_pages_without_an_article(spark):
+    """Neutral names and no article: link lists go, and a short block is told by its neighbours."""
+    long = "word " * 40
+    menu = "".join(f"<p><a href=/{i}>go {i}</a></p>" for i in range(5))
+    page = f"<body><div class=c1>{menu}<p>Short note</p>{menu}</div><div class=c2><p>{long}one.</p><p>Short line.</p><p>{long}two.</p></div><div class=c3>{menu}</div></body>"
+    deep = "<div>" * 60_000 + "</ul>" * 60_000  # an end tag without a start costs one look
+    rows = [(1, page, None), (2, deep, "x"), (2, deep, "x"), (None, page, "y")]
+    df = spark.createDataFrame(rows, "page_id long, html string, n_chars string").withColumn("own", F.lit(1))
+    got = [(r["page_id"], r["text"]) for r in html.extracted(df).collect()]
+    text = f"{long}one. Short line. {long}two."
+    assert sorted(got, key=str) == sorted([(1, text), (2, ""), (2, ""), (None, text)], key=str)
+    assert html.extracted(df.limit(0)).count() == 0
+    used = {html.FEATURES[f] for f, *_ in html.trained_tree() if f >= 0}
+    assert {"words", "link_density"} <= used and used & {"words_before", "words_after"} and used & {"link_density_before", "link_density_after"}
+
+
 def test_html(spark):
     page = "<html><nav><a href=/a>Menu</a></nav><div class='ad'>Buy now.</div><article><h1>Title&amp;</h1><script>var t='</p>';</script><p>One <b>two</b>\n three.<p>Hi.</article><div class=comments><p>" + "me too " * 40 + "</p></div><footer>End</footer>"
     cases = [page, None, "", "<", "<p", "<script>never closed", page[: page.index("three") + 5]]
@@ -178,6 +244,96 @@ def test_urls_follow_links(spark):
     assert urls.url_verdicts(spark, df.limit(0), rules).count() == 0
 
 
+LINKS = [
+    ("http://good.org/a", "<link rel=canonical href='/go?u=http://b.example.com/en/1'>", "allow"),  # a path, not the URL in it
+    ("http://good.org/b", "<!-- <link rel=canonical href='http://b.example.com/en/1'> -->", "allow"),
+    ("http://good.org/c", "<script>'<link rel=canonical href=http://b.example.com/en/1>'</script>", "allow"),
+    ("http://z.org/a?ref=2", "<link rel=canonical href=http://b.example.com/en/1>", "block"),
+    ("https://z.org/a/?ref=1", None, "allow"),  # another resource, and no link
+    ("http://two.org/", "<link rel=canonical href=http://two.org/x><link rel='alternate CANONICAL' href='http://b.example.com/en/2'>", "block"),
+    ("http://b.org/x/y", "<base href='//b.example.com/en/z/'><meta content=\"0; URL='../1?p=1&amp;q=2#f'\" http-equiv=Refresh>", "block"),  # b.example.com/en/1?p=1&q=2
+    ("http://b.org/x/z", "<base href='//b.example.com/en/z/'><link rel=canonical href='../../other'>", "allow"),  # b.example.com/other has no rule but com/
+    ("http://f.net/fr/1", None, "block"), ("http://q.org/p?a=1", "<link rel=canonical href='?b=2'>", "block"), ("http://q.org/p?b=2", "<link rel=canonical href='http://f.net/fr/1'>", "block"),
+    ("http://q.org/p", None, "allow"), ("HTTP://Q.org/p?b=2#top", None, "block"), ("http://m.org/", "<link rel=canonical href='mailto:a@b.example.com'><link rel=canonical href=''>", "allow"), ("no scheme", "<link rel=canonical href='http://b.example.com/en/1'>", "allow"), (None, None, "allow"), (None, "", "allow"),
+    ("http://deep.org/" + "a/" * 300 + "x", "<link rel=canonical href='" + "../" * 400 + "y'>", "allow"), ("http://www.example.com/en/1", "<link rel=canonical href=http://b.example.com/en/1>", "allow"),
+]
+
+
+def test_links_against_duckdb(spark, tmp_path):
+    """Every way that a page links, by what a browser makes of it, and by the oracle."""
+    df = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(LINKS)], "page_id long, url string, html string")
+    df.coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["page_id"]: tuple(r[c] for c in ("host", "path", "rule", "verdict")) for r in urls.op10_url_filter(spark, str(tmp_path)).collect()}
+    assert {i: v[-1] for i, v in got.items()} == {i: v for i, (*_, v) in enumerate(LINKS)}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert {r[0]: r[1:] for r in con.execute(urls.ORACLES["op10_url_filter"]).fetchall()} == got
+
+
+def test_shards_are_split(spark, monkeypatch):
+    """Shards far over their target get trees of their own; the components are those of brute force."""
+    for name, n in (("SPLIT", 12), ("SPLIT_SAMPLE", 16), ("ROUTED", 20), ("SAMPLE", 16)):
+        monkeypatch.setattr(simhash, name, n)
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 60).astype(object)
+    points = sorted({int(b) ^ (1 << int(i)) ^ (1 << int(j)) for b in base for i, j in rng.integers(0, 63, (6, 2))} | {int(b) for b in base} | set(range(40)))
+    df = spark.createDataFrame([(p,) for p in points], "fp long")
+    edges = [(r["src"], r["dst"]) for r in simhash.links(spark, df, 2, shard=4, chunk=4, visitors=8).collect()]
+
+    def labels(pairs):
+        of = {p: p for p in points}
+        changed = True
+        while changed:
+            changed = False
+            for a, b in pairs:
+                least = min(of[a], of[b])
+                if (of[a], of[b]) != (least, least):
+                    of[a] = of[b] = least
+                    changed = True
+        return of
+
+    assert labels(edges) == labels([(a, b) for k, a in enumerate(points) for b in points[k + 1 :] if (a ^ b).bit_count() <= 2])
+
+
+def test_pairs_of_terms_are_learned():
+    """An insult beside a group is toxic, either alone is not: the factors tell them apart, and equal a sum over pairs."""
+    rng = np.random.default_rng(6)
+    rows, labels = [], []
+    for _ in range(1200):
+        insult, group = rng.random(2) < 0.5
+        words = [*rng.choice(["alpha", "beta", "gamma", "delta", "epsilon"], 4), *["idiots"] * int(insult), *["outsiders"] * int(group)]
+        rows.append(toxicity.terms(" ".join(words).encode()))
+        labels.append(float(insult and group))
+    machine = toxicity.fit(rows, np.array(labels))
+    score = lambda t: machine.score(toxicity.terms(t.encode()))
+    assert score("alpha idiots outsiders beta") > 0.7 > 0.3 > max(score("alpha idiots beta"), score("alpha outsiders beta"), score("alpha beta"), score(""))
+    flat = toxicity.Machine(machine.index, machine.x, machine.bias, machine.linear, np.zeros_like(machine.factors))
+    alone = [flat.score(toxicity.terms(t)) for t in (b"alpha idiots outsiders", b"alpha idiots", b"alpha outsiders")]
+    assert alone[0] - max(alone[1:]) < 0.5  # without factors the pair is hardly told from its parts
+    own = [i for i in machine.index[toxicity.terms(b"alpha idiots outsiders beta")] if i >= 0]
+    z = machine.bias + sum(machine.linear[i] * machine.x[i] for i in own) + sum(machine.factors[a] @ machine.factors[b] * machine.x[a] * machine.x[b] for k, a in enumerate(own) for b in own[k + 1 :])
+    assert abs(score("alpha idiots outsiders beta") - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_very_long_texts(spark):
+    """Texts longer than a segment, a slice or a batch of words: windows across the borders of segments count."""
+    rng = np.random.default_rng(8)
+    parts = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 50_000)) for _ in range(2)]
+    passage = " ".join(f"p{x}" for x in rng.integers(0, 10**6, 40_000))
+    texts = [parts[0] + passage, passage + parts[1], "tick " * 60_000, parts[1][:1000]]
+    assert len(passage) > suffix.SEGMENT
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix.remove_repeats(spark, df).collect()}
+    assert got == dict(enumerate(brute_repeats([t.encode() for t in texts], 200)))
+    prints = {r["doc_id"]: r["fingerprint"] for r in simhash.near_duplicates(spark, df).collect()}
+    assert prints[2] == f"{xxhash.xxh64_intdigest(b'tick tick tick', 42):016x}"
+    kept = packing.packed(spark, df).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(packing.default_vocabulary())
+    assert {r["doc_id"]: r["n"] for r in kept} == {i: len(own.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
+
+
 def test_toxicity(spark, docs):
     sf = "/root/testdata/sf0.01"
     rows = toxicity.op8_toxicity_fm(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").collect()
