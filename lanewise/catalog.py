@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lanewise.functions import scalars
-from lanewise.operators import analytics, identity, ranking, relational, serving
+from lanewise.operators import analytics, identity, oracles, ranking, relational, serving
 from lanewise.plans import portable
 from lanewise.sources import discovery, files, ingest
 from lanewise.streaming import state
@@ -24,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     name, _, oracle_text = relational.TUPLE_COUNT
-    return {k: portable.oracle_sql(v) for k, v in PLANS.items()} | {name: portable.oracle_sql(oracle_text)} | ranking.ORACLES | serving.oracles() | ingest.ORACLES | scalars.ORACLES | state.ORACLES | files.ORACLES
+    return {k: portable.oracle_sql(v) for k, v in PLANS.items()} | {name: portable.oracle_sql(oracle_text)} | ranking.ORACLES | serving.oracles() | ingest.ORACLES | scalars.ORACLES | state.ORACLES | files.ORACLES | oracles.ORACLES
