@@ -116,11 +116,17 @@ SELECT buyer_id, score, {_LEVEL} AS risk_level, reason_code FROM (
   SELECT *, row_number() OVER (PARTITION BY buyer_id ORDER BY score DESC, reason_code) AS rk FROM (
     SELECT buyer_id, score, 'GHOST_ENTITY' AS reason_code FROM ghost_risk UNION ALL SELECT buyer_id, score, 'VOLUME_SPIKE' FROM spike_risk) a) x WHERE rk = 1""", [])
 
-view("country_hs_month", f"""
-SELECT l.reporting_country, l.direction, l.hs_code_6, l.year, l.month, count(*) AS shipments, {_V} AS value_usd, {_Q} AS qty_kg, count(DISTINCT l.buyer_id) AS buyers, count(DISTINCT l.supplier_id) AS suppliers,
-       count(r.transaction_id) AS risky_shipments, count(DISTINCT CASE WHEN r.transaction_id IS NOT NULL THEN l.buyer_id END) AS risky_buyers
-FROM ledger l LEFT JOIN (SELECT transaction_id FROM invoice_risk WHERE risk_level IN ('HIGH', 'CRITICAL')) r ON r.transaction_id = l.transaction_id
-GROUP BY l.reporting_country, l.direction, l.hs_code_6, l.year, l.month""", [])
+# Buyers and suppliers are counted by a second aggregate over one row each: several distinct counts at once would multiply the rows.
+view("country_hs_month", """
+SELECT b.reporting_country, b.direction, b.hs_code_6, b.year, b.month, b.shipments, b.value_usd, b.qty_kg, b.buyers, s.suppliers, b.risky_shipments, b.risky_buyers
+FROM (SELECT reporting_country, direction, hs_code_6, year, month, CAST(sum(n) AS BIGINT) AS shipments, CAST(sum(usd) AS DOUBLE) AS value_usd, CAST(sum(kg) AS DOUBLE) AS qty_kg, count(buyer_id) AS buyers,
+             CAST(sum(risky) AS BIGINT) AS risky_shipments, count(CASE WHEN risky > 0 THEN buyer_id END) AS risky_buyers
+      FROM (SELECT l.reporting_country, l.direction, l.hs_code_6, l.year, l.month, l.buyer_id, count(*) AS n, sum(l.value_usd) AS usd, sum(l.qty_kg) AS kg, count(r.transaction_id) AS risky
+            FROM ledger l LEFT JOIN (SELECT transaction_id FROM invoice_risk WHERE risk_level IN ('HIGH', 'CRITICAL')) r ON r.transaction_id = l.transaction_id
+            GROUP BY l.reporting_country, l.direction, l.hs_code_6, l.year, l.month, l.buyer_id) x GROUP BY reporting_country, direction, hs_code_6, year, month) b
+JOIN (SELECT reporting_country, direction, hs_code_6, year, month, count(supplier_id) AS suppliers
+      FROM (SELECT DISTINCT reporting_country, direction, hs_code_6, year, month, supplier_id FROM ledger) y GROUP BY reporting_country, direction, hs_code_6, year, month) s
+  ON s.reporting_country IS NOT DISTINCT FROM b.reporting_country AND s.direction = b.direction AND s.hs_code_6 IS NOT DISTINCT FROM b.hs_code_6 AND s.year IS NOT DISTINCT FROM b.year AND s.month IS NOT DISTINCT FROM b.month""", [])
 
 view("country_hs_dashboard", """
 SELECT *, round(100 * value_usd / NULLIF(sum(value_usd) OVER (PARTITION BY reporting_country, direction, year, month), 0), 4) AS share_pct,

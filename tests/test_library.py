@@ -31,6 +31,8 @@ def column(spark, values, f, kind="string"):
 
 def test_names(spark):
     assert column(spark, [n for n, _ in NAMES], X.organisation) == [x for _, x in NAMES]
+    # Forms of equal length go in the order of the list: LTD before LLC and INC.
+    assert column(spark, ["ACME LLC LTD", "ACME INC LTD", "ACME LTD LLC", "ACME LTD INC"], X.organisation) == ["ACME", "ACME", "ACME LTD", "ACME LTD"]
 
 
 def test_fields(spark):
@@ -162,7 +164,7 @@ def test_identity(spark):
     assert rows == {("ACME", "KENYA"): ("MIXED", "NEW"), ("BLUE SKY TRADERS", "INDIA"): ("SUPPLIER", "NEW"), ("BLUE SKY TRADERS", "KENYA"): ("MIXED", "FUZZY")}
 
 
-@pytest.mark.parametrize("name", ["c09_invoice_outliers", "c14_mirror_match", "c04_exporter_profile", "c19_opportunity_score", "a04_distinct_tuples", "x01_clean_fields", "x10_names", "x24_similarity", "t05_affected_keys", "t07_upsert", "t08_insert_missing", "s07_raw_rows"])
+@pytest.mark.parametrize("name", ["c19_opportunity_score", "c23_country_hs_dashboard", "c24_buyer_hs_activity", "a04_distinct_tuples", "j04_corridor_join", "s07_raw_rows"])
 def test_against_duckdb(spark, name):
     con = duckdb.connect()
     for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"):
