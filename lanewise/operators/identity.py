@@ -69,3 +69,15 @@ def c16_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"c16_identity": c16_identity}
+ORACLES = {
+    "c16_identity": r"""WITH c AS (SELECT c_custkey, c_nationkey AS n, c_name, c_custkey IN (SELECT o_custkey FROM orders WHERE year(o_orderdate) = (SELECT min(year(o_orderdate)) FROM orders)) AS early FROM customer),
+        w AS (SELECT *, unnest(list_filter(regexp_split_to_array(lower(c_name), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM c),
+        g AS (SELECT DISTINCT c_custkey, n, early, substr('  ' || w || ' ', i, 3) AS t FROM (SELECT *, unnest(range(1, length(w) + 2)) AS i FROM w)),
+        s AS (SELECT c_custkey, count(*) AS k FROM g GROUP BY 1),
+        pairs AS (SELECT a.c_custkey AS mine, b.c_custkey AS other, count(*) AS shared FROM g a JOIN g b ON a.n = b.n AND a.t = b.t AND NOT a.early AND b.early GROUP BY 1, 2),
+        near AS (SELECT DISTINCT mine FROM pairs JOIN s x ON x.c_custkey = mine JOIN s y ON y.c_custkey = other WHERE shared >= 0.8 * (x.k + y.k - shared))
+        SELECT 'MIXED' AS type, 'EXACT' AS match, count(*) AS n FROM c WHERE early HAVING count(*) > 0
+        UNION ALL SELECT 'MIXED', 'FUZZY', count(*) FROM near HAVING count(*) > 0
+        UNION ALL SELECT 'BUYER', 'NEW', count(*) FROM c WHERE NOT early AND c_custkey NOT IN (SELECT mine FROM near) HAVING count(*) > 0
+        UNION ALL SELECT 'SUPPLIER', 'NEW', count(*) FROM supplier HAVING count(*) > 0""",
+}
