@@ -17,6 +17,7 @@ dealt in a distributed way, and each piece finds its run by binary search.
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import re
 import struct
@@ -41,6 +42,15 @@ CACHE = 150_000
 #: Texts whose new words are encoded together.
 TOGETHER = 256
 
+# How the public file normalizes a text and cuts it into words, which the fast path does without it.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_WORDS = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 # The letters and digits among the code points that the fast path takes, all of which are in form NFC.
 _LETTERS = "a-zªµºß-öø-įı-ɏ"
 _DIGITS = "0-9²³¹¼-¾"
@@ -61,7 +71,7 @@ class WordEncoder:
     """Ids of a tokenizer that encodes words independently, as packed little-endian unsigned 32-bit integers.
 
     Words are encoded by the tokenizer once and kept. A text outside the fast path's code points, or with one of the
-    tokenizer's special strings, is encoded whole.
+    tokenizer's special strings, is encoded whole; so is every text if the file cuts words in another way.
     """
 
     def __init__(self, vocabulary: str):
@@ -69,6 +79,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(vocabulary)
+        with open(vocabulary, encoding="utf-8") as f:
+            own = json.load(f)
+        self._fast = own["normalizer"] == _NORMALIZER and own["pre_tokenizer"] == _WORDS and own["post_processor"] is None and own["model"]["type"] == "BPE"
         self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._ids: dict[str, bytes] = {}
 
@@ -88,7 +101,7 @@ class WordEncoder:
     def many(self, texts: list[str]) -> Iterator[bytes]:
         for at in range(0, len(texts), TOGETHER):
             part = texts[at : at + TOGETHER]
-            split = [_PIECE.findall(t.lower()) if _PLAIN.fullmatch(t) and not any(s in t for s in self._special) else None for t in part]
+            split = [_PIECE.findall(t.lower()) if self._fast and _PLAIN.fullmatch(t) and not any(s in t for s in self._special) else None for t in part]
             known = self._ids
             new = set(chain.from_iterable(filter(None, split))).difference(known)
             self._learn(new)

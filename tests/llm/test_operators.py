@@ -116,6 +116,18 @@ def test_packing(spark, docs):
     assert packing.packed(spark, docs.limit(0)).count() == 0
 
 
+def test_other_vocabularies_are_encoded_whole():
+    """A byte-level file cuts words in another way: the fast path would give other ids."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = public_tokenizers.path(name)
+        own, encoder = Tokenizer.from_file(path), packing.WordEncoder(path)
+        for text in ("It's 12 Words, HERE\n\n  and\there", "naïve Ärger µ 3½", "", " ", "日本 <|endoftext|> x"):
+            assert encoder(text) == np.array(own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_plan_places_everything():
     rng = np.random.default_rng(3)
     counts = {int(n): int(c) for n, c in zip(rng.integers(1, 2049, 300), rng.integers(1, 40, 300))}
