@@ -38,7 +38,7 @@ GROUPS = 512
 #: Pieces up to capacity / SMALL are small.
 SMALL = 8
 #: Words whose ids a worker keeps.
-CACHE = 150_000
+CACHE = 100_000
 #: Texts whose new words are encoded together.
 TOGETHER = 256
 
@@ -90,8 +90,6 @@ class WordEncoder:
 
     def _learn(self, words: Iterable[str]) -> None:
         """Ids of single words from the tokenizer's model, which sees a word's UTF-8 bytes as the characters of the byte-level map."""
-        if len(self._ids) > CACHE:
-            self._ids.clear()
         model = self._tokenizer.model
         for w in words:
             shown = w if w.isascii() else w.encode().decode("latin-1").translate(_SHOWN)
@@ -102,14 +100,13 @@ class WordEncoder:
         for at in range(0, len(texts), TOGETHER):
             part = texts[at : at + TOGETHER]
             split = [_PIECE.findall(t.lower()) if self._fast and _PLAIN.fullmatch(t) and not any(s in t for s in self._special) else None for t in part]
+            words_now = set(chain.from_iterable(filter(None, split)))
+            if len(self._ids) > CACHE:  # frequent words are among those of these texts, too
+                self._ids = {w: ids for w in words_now if (ids := self._ids.get(w)) is not None}
             known = self._ids
-            new = set(chain.from_iterable(filter(None, split))).difference(known)
-            self._learn(new)
+            self._learn(words_now.difference(known))
             for text, words in zip(part, split):
-                try:
-                    yield self._whole(text) if words is None else b"".join(map(known.__getitem__, words))
-                except KeyError:  # the words kept were cleared on the way
-                    yield self._whole(text)
+                yield self._whole(text) if words is None else b"".join(map(known.__getitem__, words))
 
     def __call__(self, text: str) -> bytes:
         return next(self.many([text]))
