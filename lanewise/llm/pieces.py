@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from lanewise.llm._common import lean, sliced, table
 
 #: Words whose paths a worker keeps.
-CACHE = 200_000
+CACHE = 100_000
 #: Texts whose new words are folded together.
 TOGETHER = 256
 SPACE_MARK = "▁"
@@ -257,10 +257,10 @@ class Encoder:
     def many(self, texts: list[str]) -> Iterator[bytes]:
         for at in range(0, len(texts), TOGETHER):
             split = [_WORD.findall((SPACE_MARK + t.replace(" ", SPACE_MARK)) if t else "") for t in texts[at : at + TOGETHER]]
-            new = [w for w in dict.fromkeys(w for words in split for w in words) if w not in self._known]
-            if len(self._known) + len(new) > CACHE:
-                self._known = {}
-                new = list(dict.fromkeys(w for words in split for w in words))
+            now = dict.fromkeys(w for words in split for w in words)
+            if len(self._known) > CACHE:  # frequent words are among those of these texts, too
+                self._known = {w: ids for w in now if (ids := self._known.get(w)) is not None}
+            new = [w for w in now if w not in self._known]
             if new:
                 self._known.update(zip(new, self.table.paths(new)))
             for words in split:
