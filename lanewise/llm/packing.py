@@ -38,7 +38,7 @@ GROUPS = 512
 #: Pieces up to capacity / SMALL are small.
 SMALL = 8
 #: Words whose ids a worker keeps.
-CACHE = 100_000
+CACHE = 600_000
 #: Texts whose new words are encoded together.
 TOGETHER = 256
 
