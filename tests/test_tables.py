@@ -118,3 +118,15 @@ def test_filters_and_levels(spark):
     assert [ids(df.filter(serving.up_to(F.col("level"), m))) for m in ("low", "MEDIUM", "HIGH", "ALL", "odd")] == [[1], [1, 2], [1, 2, 3], [1, 2, 3], [1, 2]]
     mails = spark.createDataFrame([(["x", "a@b@GMAIL.com", "c@firm.ke"], 5e5), (["c@firm.ke", "a@gmail.com"], 9e9), ([None, "q@aol.com"], 1.0), (None, 1.0)], "variants array<string>, value_usd double")
     assert sorted((r["email_domain"], r["score"], r["risk_level"]) for r in serving.free_email(mails).collect()) == [("aol.com", 30, "LOW"), ("gmail.com", 40, "MEDIUM")]
+
+
+def test_top_arrays_have_whole_shares(spark, tmp_path, monkeypatch):
+    """Against the oracle: a share just under a whole basis point, a negative one, missing values and codes, equal values, a total beyond a long."""
+    rows = [(1, "A", "581164.71"), (1, "B", "1700597.01"), (2, "A", "3"), (2, "B", "-0.07"), (3, "A", None), (3, None, "5"), (3, "C", "5"), (3, "B", "5"), *[(4, f"p{k:02}", "9" * 16 + ".99") for k in range(12)], (None, "A", "1")]
+    spark.createDataFrame(rows, "buyer_id long, hs_code_6 string, v string").selectExpr("buyer_id", "hs_code_6", "CAST(v AS DECIMAL(18,2)) AS value_usd").write.parquet(str(tmp_path / "micro.parquet"))
+    monkeypatch.setitem(portable.VIEWS, "ledger", "SELECT * FROM {micro}")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW micro AS SELECT * FROM '{tmp_path}/micro.parquet/*.parquet'")
+    got = {r["buyer_id"]: r["top_codes"] for r in serving.a15_top_arrays(spark, str(tmp_path)).collect()}
+    assert got == dict(con.execute(serving.oracles()["a15_top_arrays"]).fetchall())
+    assert '"cents":58116471,"share_bp":2546}' in got[1] and '"cents":-7,"share_bp":-238}' in got[2] and got[4].count('"share_bp":833}') == 5
