@@ -130,3 +130,19 @@ def test_top_arrays_have_whole_shares(spark, tmp_path, monkeypatch):
     got = {r["buyer_id"]: r["top_codes"] for r in serving.a15_top_arrays(spark, str(tmp_path)).collect()}
     assert got == dict(con.execute(serving.oracles()["a15_top_arrays"]).fetchall())
     assert '"cents":58116471,"share_bp":2546}' in got[1] and '"cents":-7,"share_bp":-238}' in got[2] and got[4].count('"share_bp":833}') == 5
+
+
+def test_lines_are_joined_in_slices_and_stored_once(spark, monkeypatch):
+    """The ledger isn't written: plans read its lines, one row for both directions, whose slices make up the whole."""
+    fresh = lambda: portable.refresh(spark, SF)
+    plan = "SELECT sum(xxhash64(transaction_id, reporting_country, buyer_id, shipment_date, qty_kg, value_usd, container_id) % 1000003) AS h, count(*) AS n FROM ledger"
+    fresh()
+    whole = portable.run(spark, SF, plan).first()
+    assert portable._key(spark, SF, "ledger") not in portable._TABLES and fresh() == ["base"]
+    monkeypatch.setattr(portable, "SLICE", 1)
+    assert portable.run(spark, SF, plan).first() == whole
+    lines = portable.stored(spark, SF, "base")
+    assert 2 * lines.count() == whole["n"] and len({f.rsplit("-", 1)[0].rsplit("/", 1)[1].split("-", 2)[2] for f in lines.inputFiles()}) == portable.SLICES
+    portable.stored(spark, SF, "ledger")
+    assert portable.run(spark, SF, plan).first() == whole and "direction=IMPORT" in " ".join(portable.ledger(spark, SF).inputFiles())
+    assert fresh() == ["base", "ledger"]
