@@ -146,3 +146,19 @@ def test_lines_are_joined_in_slices_and_stored_once(spark, monkeypatch):
     portable.stored(spark, SF, "ledger")
     assert portable.run(spark, SF, plan).first() == whole and "direction=IMPORT" in " ".join(portable.ledger(spark, SF).inputFiles())
     assert fresh() == ["base", "ledger"]
+
+
+def test_mirror_candidates_are_counted_before_they_travel(spark, monkeypatch):
+    """No window or sort sees a row for each pair, and slices by export make up the oracle's matches."""
+    con = duckdb.connect()
+    for t in ("nation", "customer", "supplier", "part", "orders", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    columns = "export_id, import_id, imported_buyer, score, lag_days"
+    want = sorted(con.execute(portable.oracle_sql(f"SELECT {columns} FROM mirror_match")).fetchall())
+    portable.refresh(spark, SF, ["mirror_match"])
+    monkeypatch.setattr(portable, "SLICE", 1 << 12)
+    assert sorted(tuple(r) for r in portable.stored(spark, SF, "mirror_match").select(*columns.split(", ")).collect()) == want and want
+    whole = portable.BUILT["mirror_match"](spark, SF)
+    assert sorted(tuple(r) for r in whole.select(*columns.split(", ")).collect()) == want
+    plan = whole._jdf.queryExecution().sparkPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan[plan.index("Window") :]
