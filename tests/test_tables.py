@@ -162,3 +162,15 @@ def test_mirror_candidates_are_counted_before_they_travel(spark, monkeypatch):
     assert sorted(tuple(r) for r in whole.select(*columns.split(", ")).collect()) == want
     plan = whole._jdf.queryExecution().sparkPlan().toString()
     assert "SortAggregate" not in plan and "HashAggregate" in plan[plan.index("Window") :]
+
+
+def test_tables_in_slices_equal_those_built_at_once(spark, monkeypatch):
+    names = [n for n in portable.STORED if n in portable.APART]
+    of = lambda: {n: (sorted(repr(tuple(r)) for r in portable.stored(spark, SF, n).collect()), portable.stored(spark, SF, n).schema) for n in names}
+    portable.refresh(spark, SF)
+    whole = of()
+    assert len(names) == 5 and all(rows for rows, _ in whole.values())
+    portable.refresh(spark, SF)
+    monkeypatch.setattr(portable, "SLICE", 1 << 15)
+    assert 1 < portable.slices_for(portable.ledger(spark, SF)) < portable.SLICES
+    assert of() == whole
